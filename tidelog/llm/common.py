@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,20 @@ def checkpoint_root(spark: SparkSession) -> str:
     return configured
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends this package to the Python workers, which need not share the driver's folders or path."""
+    context = spark.sparkContext
+    if not getattr(context, "_tidelog_shipped", False):
+        package = Path(__file__).resolve().parents[1]
+        archive = Path(tempfile.mkdtemp(prefix="tidelog-")) / "tidelog.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for source in sorted(package.rglob("*.py")):
+                out.write(source, source.relative_to(package.parent))
+        context.addPyFile(str(archive))
+        context._tidelog_shipped = True
+    return spark
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Writes df to the shared checkpoint folder; later reads survive lost executors."""
     checkpoint_root(df.sparkSession)
@@ -67,8 +83,8 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/pages.parquet")
