@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import language, media, packing
-from tidelog.llm.common import documents
+from tidelog.llm import language, media, packing, quality, secrets, simhash, urls
+from tidelog.llm.common import documents, pages
 
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,10 +22,32 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(documents(spark, sf_dir))
 
 
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_documents(documents(spark, sf_dir))
+
+
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(pages(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": op1_media_columns,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_language_id": op4_language_id,
+    "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_quality_rules": op6_quality_rules,
+    "op7_secret_scans": op7_secret_scans,
+    "op9_url_filters": op9_url_filters,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op9_url_filters": urls.judge_sql(),
+}
