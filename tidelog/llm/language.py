@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import sliced, texts_of
@@ -153,7 +153,7 @@ def train(snippets: list[bytes], langs: list[str], calibrate: list[bool], seed:
     return model
 
 
-def held_out() -> F.Column:
+def held_out() -> Column:
     """Whether a row is kept from learning: crc32 of its id as text, mod 4, is 2 (or the id is null)."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(True))
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import language, media, packing, quality, secrets, simhash, urls
+from tidelog.llm import extract, language, lines, media, packing, quality, secrets, simhash, urls
 from tidelog.llm.common import documents, pages
 
 
@@ -34,10 +34,18 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_documents(documents(spark, sf_dir))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(pages(spark, sf_dir))
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages(spark, sf_dir))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": op1_media_columns,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -45,9 +53,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_secret_scans": op7_secret_scans,
+    "op8_html_extraction": op8_html_extraction,
     "op9_url_filters": op9_url_filters,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 SQL: dict[str, str] = {
     "op9_url_filters": urls.judge_sql(),
+    "op10_line_dedup": lines.report_sql(),
 }

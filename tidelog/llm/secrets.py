@@ -18,7 +18,7 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import cut_lineage, sliced, texts_of
@@ -39,7 +39,7 @@ MORE_RULES = (
 )
 KINDS = [*(r[0] for r in BASE_RULES), *(r[0] for r in MORE_RULES)]
 _KEYWORDS = ("pass", "secret", "token", "api")
-LEDGER_SCHEMA = "blob binary, rule_version string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
+LEDGER_SCHEMA = "blob binary, rule_version string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, masks string"
 
 
 def find(text: str) -> list[tuple[int, int, int]]:
@@ -60,7 +60,18 @@ def written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in spans)
 
 
-def blob_of() -> F.Column:
+def merged(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Each run of overlapping spans as one, of the first one's kind."""
+    out: list[tuple[int, int, int]] = []
+    for start, kind, end in spans:
+        if out and start < out[-1][2]:
+            out[-1] = (*out[-1][:2], max(end, out[-1][2]))
+        else:
+            out.append((start, kind, end))
+    return out
+
+
+def blob_of() -> Column:
     """The content address of column text."""
     return F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
 
@@ -72,10 +83,10 @@ def _scanned(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans = find(text)
             base = [s for s in spans if s[1] < len(BASE_RULES)]
             counts = [sum(s[1] == k for s in base) for k in range(len(BASE_RULES))]
-            rows.append((RULE_VERSION, *counts, hashlib.sha256(written(base).encode()).hexdigest(), written(spans)))
-        types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            rows.append((RULE_VERSION, *counts, hashlib.sha256(written(base).encode()).hexdigest(), written(spans), written(merged(spans))))
+        types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
         columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("blob"), *columns], names=["blob", "rule_version", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+        yield pa.RecordBatch.from_arrays([batch.column("blob"), *columns], names=["blob", "rule_version", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "masks"])
 
 
 def scan(versions: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
@@ -112,35 +123,25 @@ def scan_documents(docs: DataFrame, ledger_path: str | None = None) -> DataFrame
     return findings(docs, ledger, "doc_id")
 
 
-def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
-    """text with each run of overlapping spans replaced by the name of its first kind."""
-    out, end = [], 0
-    for start, kind, stop in spans:
-        if start >= end:
-            out += [text[end:start], f"[{KINDS[kind]}]"]
-        end = max(end, stop)
-    return "".join([*out, text[end:]])
+def masked(text: Column, masks: Column) -> Column:
+    """text with each of masks (kind:start:end, comma-joined, in order) replaced by its kind in brackets."""
 
+    def replaced(done: Column, mask: Column) -> Column:
+        kind, start, end = (F.element_at(F.split(mask, ":"), k) for k in (1, 2, 3))
+        return F.concat(F.substring(done, F.lit(1), start.cast("int")), F.lit("["), kind, F.lit("]"), F.substring(done, end.cast("int") + 1, F.length(done)))
 
-def redacted(docs: DataFrame, ledger_path: str | None = None) -> DataFrame:
-    """All rows and columns of docs, with the secrets in text replaced (and n_chars, if there is one, counted anew).
+    # From the last to the first, as each one moves what follows it.
+    return F.aggregate(F.reverse(F.split(masks, ",")), text, replaced)
 
-    Only texts with a finding pass through Python; the rest stays as it is.
-    """
+
+def redacted(docs: DataFrame, ledger_path: str | None = None) -> DataFrame:
+    """All rows and columns of docs, with the secrets in text replaced (and n_chars, if there is one, counted anew)."""
     ledger = update(docs.select("text"), ledger_path) if ledger_path else cut_lineage(scan(docs.select("text")))
-    hits = ledger.filter("spans <> ''").select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-
-    @F.pandas_udf("string")
-    def cleaned(texts, spans):
-        def parsed(listed: str) -> list[tuple[int, int, int]]:
-            return [(int(start), KINDS.index(kind), int(end)) for kind, start, end in (s.split(":") for s in listed.split(","))]
-
-        return texts.combine(spans, lambda text, listed: redact(text, parsed(listed)) if listed else text)
-
-    rows = docs.withColumn("_blob", blob_of()).join(hits, "_blob", "left")
-    names = docs.columns
-    clean = rows.filter("_spans is null").select(*names)
-    found = rows.filter("_spans is not null").withColumn("text", cleaned("text", "_spans"))
-    if "n_chars" in names:
-        found = found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return clean.unionByName(found.select(*names))
+    hits = ledger.filter("masks <> ''").select(F.col("blob").alias("_blob"), F.col("masks").alias("_masks")).dropDuplicates(["_blob"])
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), blob_of().alias("_key")).join(hits, F.col("_key") == F.col("_blob"), "left")
+    hit, old = F.col("_masks").isNotNull(), F.col("_row.text")
+    rows = rows.withColumn("_text", F.when(hit, masked(old, F.col("_masks"))).otherwise(old))
+    new = {"text": F.col("_text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(hit, F.length("_text")).otherwise(F.col("_row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[new.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns])
