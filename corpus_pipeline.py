@@ -1,8 +1,67 @@
-"""The corpus pipeline: stages that each call one text operator."""
+"""The corpus pipeline: five stages, each of which calls one text operator.
 
-STAGES = []
+Every stage reads the Parquet that its predecessor wrote; all but the last return
+the columns of documents.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tidelog.llm import language, lines, packing, secrets, simhash
+from tidelog.llm.common import checkpoint_root, documents, ship
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go whose language the model rejects: without a letter, or scored below its calibrated threshold."""
+    ship(spark)
+    return language.identified(docs)
+
+
+def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines go that repeat a window of three lines; every document stays."""
+    ship(spark)
+    return lines.without_repeats(docs)
+
+
+def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of linked fingerprints the document with the smallest id stays."""
+    ship(spark)
+    return simhash.one_per_class(docs)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in texts are replaced by their kind; every document stays."""
+    ship(spark)
+    return secrets.redacted(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The places of the documents' pieces in training sequences."""
+    ship(spark)
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", remove_repeated_lines),
+    ("simhash_near_dedup", keep_one_of_near_duplicates),
+    ("secret_scans", redact_secrets),
+    ("best_fit_packing", pack_sequences),
+]
+
+#: Fitting, fingerprint classes and packing have no SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each stage's result is kept as Parquet in the shared checkpoint folder."""
+    root = f"{checkpoint_root(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs = documents(spark, sf_dir)
+    for k, (name, stage) in enumerate(STAGES):
+        path = f"{root}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
