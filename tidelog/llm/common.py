@@ -12,27 +12,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-#: Text bytes that a worker turns into Python objects at once.
-SLICE_BYTES = 4 << 20
+from tidelog.session import checkpoint_root, cut_lineage
 
+__all__ = ["by_rows", "checkpoint_root", "cut_lineage", "documents", "pages", "ship", "sliced", "texts_of"]
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: ``spark.checkpoint.dir`` where it is set.
-
-    Only a local master without that setting gets a temporary folder; on a
-    cluster a machine-local folder would be lost with its machine.
-    """
-    context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current:
-        return current
-    configured = context.getConf().get("spark.checkpoint.dir", None)
-    if not configured:
-        if not context.master.startswith("local[") and context.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        configured = tempfile.mkdtemp(prefix="tidelog-checkpoint-")
-    context.setCheckpointDir(configured)
-    return configured
+#: Text bytes that a worker turns into Python objects at once.
+SLICE_BYTES = 4 << 20
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -49,12 +34,6 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder; later reads survive lost executors."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def sliced(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts record batches so that column holds about ``limit`` bytes in each (one row at least)."""
     for batch in batches:
