@@ -4,7 +4,8 @@ A text is lower-cased and cut into words of letters; every 2-, 3- and 4-byte
 window of a word (one border at each side counted) is hashed to a bucket.  The mean
 of the buckets' embeddings goes through a linear softmax.  Both are trained by
 stochastic gradient descent in numpy on a bounded sample; a part of that sample
-sets the temperature of the scores and the score under which a text is rejected.
+sets the temperature of the scores and the score under which a text is rejected,
+as the answers below it are wrong as often as right.
 
 Since everything before the softmax is linear, prediction adds up one row of
 class scores per window, in integers, so that equal texts get equal results.
@@ -36,8 +37,8 @@ DIMENSIONS = 16
 SAMPLE_PER_LANGUAGE = 1000
 SNIPPETS = (24, 90, 400)
 EPOCHS, BATCH, RATE = 4, 128, 0.5
-#: One document in this many of the sample calibrates; that share of its right answers may be rejected.
-CALIBRATE_EVERY, REJECTED_SHARE = 5, 0.001
+#: One document in this many of the sample calibrates.
+CALIBRATE_EVERY = 5
 #: Class scores are added up as integers of this scale.
 SCALE = 1 << 12
 _SPACE = 32
@@ -148,8 +149,12 @@ def train(snippets: list[bytes], langs: list[str], calibrate: list[bool], seed:
         loss = lambda t: -np.log(softmax(logits / t)[np.arange(len(held)), right] + 1e-12).mean()
         model.temperature = float(min(2.0 ** (np.arange(-8, 9) / 2), key=loss))
         p = softmax(logits / model.temperature)
-        sure = p.max(axis=1)[p.argmax(axis=1) == right]
-        model.threshold = float(np.quantile(sure, REJECTED_SHARE, method="lower")) if len(sure) else 0.0
+        order = np.argsort(p.max(axis=1), kind="stable")
+        wrong = np.cumsum(p.argmax(axis=1)[order] != right[order])
+        # The longest run of lowest scores that holds as many wrong answers as right ones is rejected.
+        run = np.flatnonzero(2 * wrong >= np.arange(1, len(order) + 1))
+        if len(run) and run[-1] + 1 < len(order):
+            model.threshold = float(p.max(axis=1)[order[run[-1] + 1]])
     return model
 
 
