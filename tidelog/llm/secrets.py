@@ -106,13 +106,13 @@ def update(versions: DataFrame, path: str) -> DataFrame:
     exists = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
     ledger = spark.read.schema(LEDGER_SCHEMA).parquet(path) if exists else None
     scan(versions, ledger).write.mode("append").parquet(path)
-    return spark.read.schema(LEDGER_SCHEMA).parquet(path).filter(F.col("rule_version") == RULE_VERSION)
+    return spark.read.schema(LEDGER_SCHEMA).parquet(path).filter(F.col("rule_version") == RULE_VERSION).dropDuplicates(["blob"])
 
 
 def findings(versions: DataFrame, ledger: DataFrame, *columns: str) -> DataFrame:
-    """columns of every row of versions, with the ledger's findings for its blob."""
+    """columns of every row of versions, with the findings for its blob from a ledger that has each blob once."""
     rows = versions.select(*columns, blob_of().alias("_blob"))
-    found = ledger.select(F.col("blob").alias("_blob"), "n_assign", "n_access", "n_hex", "base_sha256", "spans").dropDuplicates(["_blob"])
+    found = ledger.select(F.col("blob").alias("_blob"), "n_assign", "n_access", "n_hex", "base_sha256", "spans")
     return rows.join(found, "_blob").drop("_blob")
 
 
@@ -137,7 +137,7 @@ def masked(text: Column, masks: Column) -> Column:
 def redacted(docs: DataFrame, ledger_path: str | None = None) -> DataFrame:
     """All rows and columns of docs, with the secrets in text replaced (and n_chars, if there is one, counted anew)."""
     ledger = update(docs.select("text"), ledger_path) if ledger_path else cut_lineage(scan(docs.select("text")))
-    hits = ledger.filter("masks <> ''").select(F.col("blob").alias("_blob"), F.col("masks").alias("_masks")).dropDuplicates(["_blob"])
+    hits = ledger.filter("masks <> ''").select(F.col("blob").alias("_blob"), F.col("masks").alias("_masks"))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), blob_of().alias("_key")).join(hits, F.col("_key") == F.col("_blob"), "left")
     hit, old = F.col("_masks").isNotNull(), F.col("_row.text")
     rows = rows.withColumn("_text", F.when(hit, masked(old, F.col("_masks"))).otherwise(old))
