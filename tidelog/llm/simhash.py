@@ -229,7 +229,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     grouped = members.unionByName(roots).join(firsts, F.col("node") == F.col("fp")).select("fp", "root", "first")
     smallest = grouped.groupBy("root").agg(F.min("first").alias("smallest"))
     linked = grouped.join(smallest, "root").select("fp", "smallest")
-    by_fp = firsts.join(linked, "fp", "left").select("fp", F.coalesce("smallest", "first").alias("component_id"))
+    # Written out, so that adaptive execution can split the partition of a hot fingerprint in the last join.
+    by_fp = cut_lineage(firsts.join(linked, "fp", "left").select("fp", F.coalesce("smallest", "first").alias("component_id")))
     return fps.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -238,6 +239,9 @@ def one_per_class(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     A row without a doc_id stays if its whole class has none.
     """
-    ids = near_duplicates(docs, radius).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_kept"]), "left_semi")
-    return kept.withColumn("_text_key", F.xxhash64("text")).dropDuplicates(["doc_id", "_text_key"]).drop("_text_key").select(*docs.columns)
+    ids = near_duplicates(docs, radius).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    # A key without nulls, by which the rows are dealt once for both steps.
+    key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("doc_id").isNull().alias("_none")]
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), *key, F.xxhash64("text").alias("_text"))
+    kept = rows.join(ids.select(*key), ["_id", "_none"], "left_semi").dropDuplicates(["_id", "_none", "_text"])
+    return kept.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
