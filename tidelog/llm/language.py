@@ -5,7 +5,7 @@ window of a word (one border at each side counted) is hashed to a bucket.  The m
 of the buckets' embeddings goes through a linear softmax.  Both are trained by
 stochastic gradient descent in numpy on a bounded sample; a part of that sample
 sets the temperature of the scores and the score under which a text is rejected,
-as the answers below it are wrong as often as right.
+as the answers below it are wrong as often as right, or no language has a majority.
 
 Since everything before the softmax is linear, prediction adds up one row of
 class scores per window, in integers, so that equal texts get equal results.
@@ -36,9 +36,12 @@ DIMENSIONS = 16
 #: Bound of the training sample: documents of a language, and the sizes in bytes of the snippets taken from each.
 SAMPLE_PER_LANGUAGE = 1000
 SNIPPETS = (24, 90, 400)
-EPOCHS, BATCH, RATE = 4, 128, 0.5
+#: Examples drawn in training, those of each language equally often.
+DRAWN, BATCH, RATE = 48_000, 128, 0.5
 #: One document in this many of the sample calibrates.
 CALIBRATE_EVERY = 5
+#: The least score at which a text can be kept: below it no language has a majority.
+MAJORITY = 0.5
 #: Class scores are added up as integers of this scale.
 SCALE = 1 << 12
 _SPACE = 32
@@ -79,7 +82,7 @@ class Model:
     table: np.ndarray  # class scores of each bucket, as integers; the last row is zero
     bias: np.ndarray
     temperature: float = 1.0
-    threshold: float = 0.0
+    threshold: float = MAJORITY
 
     def logits(self, texts: list[bytes]) -> np.ndarray:
         """One row of class scores for each of the normal byte strings."""
@@ -123,23 +126,22 @@ def train(snippets: list[bytes], langs: list[str], calibrate: list[bool], seed:
     features = [_features(s) for s in snippets]
     target = np.array([languages.index(x) for x in langs])
     used = np.array([k for k, f in enumerate(features) if len(f) and not calibrate[k]], dtype=np.int64)
-    for epoch in range(EPOCHS):
-        rng.shuffle(used)
-        rate = RATE * (1 - epoch / EPOCHS)
-        for at in range(0, len(used), BATCH):
-            rows = used[at : at + BATCH]
-            sizes = np.array([len(features[k]) for k in rows])
-            flat = np.concatenate([features[k] for k in rows])
-            mean = np.add.reduceat(embedding[flat], np.cumsum([0, *sizes])[:-1], axis=0) / sizes[:, None]
-            error = softmax(mean @ weights + bias)
-            error[np.arange(len(rows)), target[rows]] -= 1
-            back = error @ weights.T / sizes[:, None]
-            weights -= rate * mean.T @ error / len(rows) * 8
-            bias -= rate * error.mean(axis=0)
-            # Each example moves the buckets that it has; sums by bucket through sorting.
-            order = np.argsort(flat, kind="stable")
-            hit, first = np.unique(flat[order], return_index=True)
-            embedding[hit] -= rate * np.add.reduceat(np.repeat(back, sizes, axis=0)[order], first, axis=0)
+    share = 1 / np.bincount(target[used], minlength=len(languages)).clip(1)[target[used]]
+    drawn = rng.choice(used, DRAWN, p=share / share.sum()) if len(used) else used
+    for at in range(0, len(drawn), BATCH):
+        rows, rate = drawn[at : at + BATCH], RATE * (1 - at / DRAWN)
+        sizes = np.array([len(features[k]) for k in rows])
+        flat = np.concatenate([features[k] for k in rows])
+        mean = np.add.reduceat(embedding[flat], np.cumsum([0, *sizes])[:-1], axis=0) / sizes[:, None]
+        error = softmax(mean @ weights + bias)
+        error[np.arange(len(rows)), target[rows]] -= 1
+        back = error @ weights.T / sizes[:, None]
+        weights -= rate * mean.T @ error / len(rows) * 8
+        bias -= rate * error.mean(axis=0)
+        # Each example moves the buckets that it has; sums by bucket through sorting.
+        order = np.argsort(flat, kind="stable")
+        hit, first = np.unique(flat[order], return_index=True)
+        embedding[hit] -= rate * np.add.reduceat(np.repeat(back, sizes, axis=0)[order], first, axis=0)
     table = np.zeros((embedding.shape[0] + 1, len(languages)), dtype=np.int32)
     table[:-1] = np.rint(embedding @ weights * SCALE)
     model = Model(languages, table, bias)
@@ -147,14 +149,14 @@ def train(snippets: list[bytes], langs: list[str], calibrate: list[bool], seed:
     if held:
         logits, right = model.logits([snippets[k] for k in held]), target[held]
         loss = lambda t: -np.log(softmax(logits / t)[np.arange(len(held)), right] + 1e-12).mean()
-        model.temperature = float(min(2.0 ** (np.arange(-8, 9) / 2), key=loss))
+        model.temperature = float(min(2.0 ** (np.arange(-4, 9) / 2), key=loss))
         p = softmax(logits / model.temperature)
         order = np.argsort(p.max(axis=1), kind="stable")
         wrong = np.cumsum(p.argmax(axis=1)[order] != right[order])
         # The longest run of lowest scores that holds as many wrong answers as right ones is rejected.
         run = np.flatnonzero(2 * wrong >= np.arange(1, len(order) + 1))
         if len(run) and run[-1] + 1 < len(order):
-            model.threshold = float(p.max(axis=1)[order[run[-1] + 1]])
+            model.threshold = max(MAJORITY, float(p.max(axis=1)[order[run[-1] + 1]]))
     return model
 
 
