@@ -47,13 +47,13 @@ class RunStore:
     def commit(self, rows: list[Row | tuple]) -> None:
         self.spark.createDataFrame([tuple(r) for r in rows], MANIFEST).coalesce(1).write.parquet(f"{self.path}/manifest/v{self._version() + 1}")
 
-    def write(self, mutations: DataFrame, level: int = 0, keep_tombstones: bool = True) -> tuple | None:
-        """Writes one run (the newest mutation of every key) and returns its manifest row, or None if nothing is left to write."""
+    def write(self, mutations: DataFrame, level: int = 0, horizon=None) -> tuple | None:
+        """Writes one run (the newest mutation of every key, without tombstones before horizon) and returns its manifest row, or None if nothing is left to write."""
         run = uuid.uuid4().hex
         path = f"{self.path}/runs/{run}"
         rows = newest(mutations)
-        if not keep_tombstones:
-            rows = rows.filter("not tombstone")
+        if horizon is not None:
+            rows = rows.filter(~F.col("tombstone") | (F.col("ts") >= horizon))
         rows.repartitionByRange("key").sortWithinPartitions("key").write.option("parquet.bloom.filter.enabled#key", "true").parquet(path)
         told = self.spark.read.schema(rows.schema).parquet(path).agg(F.min("key"), F.max("key"), F.count("*"), F.count_if("tombstone"), F.max("ts").cast("string")).first()
         if not told[2]:
