@@ -74,14 +74,15 @@ def simhashes(texts: list[str]) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long), one row per row of docs."""
+    """doc_id, text_key (a hash of the text) and fp (the fingerprint as a signed long), one row per row of docs."""
 
     def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text", 2 << 20):
             fp = simhashes(texts_of(batch)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(fp, pa.int64())], names=["doc_id", "text_key", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(hashed, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    return rows.mapInArrow(hashed, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key long, fp long")
 
 
 def shard_masks(n: int, radius: int = RADIUS) -> list[int]:
@@ -220,8 +221,8 @@ def classes(edges: DataFrame) -> DataFrame:
     return edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fingerprint, component_id for every row of docs."""
+def _classed(docs: DataFrame, radius: int) -> DataFrame:
+    """doc_id, text_key, fp and component_id for every row of docs."""
     fps = cut_lineage(fingerprints(docs))
     firsts = cut_lineage(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
     members = classes(links(firsts.select("fp"), radius))
@@ -231,7 +232,12 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     linked = grouped.join(smallest, "root").select("fp", "smallest")
     # Written out, so that adaptive execution can split the partition of a hot fingerprint in the last join.
     by_fp = cut_lineage(firsts.join(linked, "fp", "left").select("fp", F.coalesce("smallest", "first").alias("component_id")))
-    return fps.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return fps.join(by_fp, "fp")
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """doc_id, fingerprint, component_id for every row of docs."""
+    return _classed(docs, radius).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_per_class(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -239,9 +245,9 @@ def one_per_class(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     A row without a doc_id stays if its whole class has none.
     """
-    ids = near_duplicates(docs, radius).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     # A key without nulls, by which the rows are dealt once for both steps.
     key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("doc_id").isNull().alias("_none")]
+    ids = _classed(docs, radius).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*key, F.col("text_key").alias("_text")).distinct()
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), *key, F.xxhash64("text").alias("_text"))
-    kept = rows.join(ids.select(*key), ["_id", "_none"], "left_semi").dropDuplicates(["_id", "_none", "_text"])
+    kept = rows.join(ids, ["_id", "_none", "_text"], "left_semi").dropDuplicates(["_id", "_none", "_text"])
     return kept.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
