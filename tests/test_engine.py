@@ -143,6 +143,18 @@ def test_compaction_keeps_the_snapshot(spark, tmp_path, planner):
     assert all(len(held_) <= 2 * (10**level if planner == "leveled" else 1) for level, held_ in levels.items())
 
 
+def test_batches_become_runs(spark, tmp_path):
+    store = runs.RunStore(spark, str(tmp_path / "store"))
+    rows = random_rows(12, 230)
+    store.append_batches(write.flush_batches(write.batch(spark, rows), 50))
+    store.append_batches(write.flush_batches(write.batch(spark, []), 50))
+    listed = store.manifest()
+    assert [r["created"] for r in listed] == [1, 2, 3, 4, 5] and sum(r["records"] for r in listed) <= 230
+    assert held(resolve.snapshot(store.read())) == model(rows)
+    meets = store.read("k03", "k04")
+    assert meets is None or {"k03", "k04"} <= {r["key"] for r in meets.collect()}
+
+
 def test_tombstone_masks_a_deeper_level(spark, tmp_path):
     store = runs.RunStore(spark, str(tmp_path / "store"))
     store.append(write.batch(spark, [("a", "1", 1, 0, False), ("b", "1", 1, 1, False)]), level=1)

@@ -8,6 +8,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.functions.hashing import word32
+
 # The stop words.
 STOP_WORDS = [
     "a", "about", "above", "after", "again", "against", "all", "am", "an", "and", "any",
@@ -40,10 +42,10 @@ def word_weights(docs: DataFrame) -> DataFrame:
     return words.groupBy("doc_id", "word").agg(F.count("*").alias("weight"))
 
 
-def word_bits(word: Column) -> Column:
-    """The last 64 binary digits of a word's MD5, whose bytes are written without leading zeros, as a long."""
-    digest = F.md5(F.encode(word, "UTF-8"))
-    digits = F.concat(*[F.bin(F.conv(F.substring(digest, 2 * k + 1, 2), 16, 10).cast("long")) for k in range(16)])
+def digest_bits(digest: Column) -> Column:
+    """The last 64 binary digits of an MD5, whose bytes are written without leading zeros, as a long."""
+    words = [word32(digest, k) for k in range(4)]
+    digits = F.concat(*[F.bin(F.shiftright(w, shift).bitwiseAND(F.lit(255))) for w in words for shift in (24, 16, 8, 0)])
     return F.conv(F.substring(F.lpad(digits, 128, "0"), 65, 64), 2, -10).cast("long")
 
 
@@ -53,7 +55,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     A bit is set if the weights of the words that have it outweigh the others'.
     All 64 sums are made in one aggregation; a word is hashed once per document.
     """
-    weighted = word_weights(docs).withColumn("bits", word_bits(F.col("word")))
+    # The digest is a column of its own, as it would be made anew for each of its parts otherwise.
+    weighted = word_weights(docs).withColumn("digest", F.md5(F.encode("word", "UTF-8"))).withColumn("bits", digest_bits(F.col("digest")))
     sums = [F.sum(F.when(F.shiftrightunsigned("bits", BITS - 1 - k).bitwiseAND(F.lit(1)) == 1, F.col("weight")).otherwise(-F.col("weight"))).alias(f"s{k}") for k in range(BITS)]
     place = [-(1 << 63), *(1 << (BITS - 1 - k) for k in range(1, BITS))]
     value = sum((F.when(F.col(f"s{k}") > 0, F.lit(place[k])).otherwise(F.lit(0)) for k in range(1, BITS)), F.when(F.col("s0") > 0, F.lit(place[0])).otherwise(F.lit(0)))

@@ -209,12 +209,10 @@ def _compacted(spark: SparkSession, sf_dir: str, planner: str) -> DataFrame:
     """The snapshot of a store whose runs (flush batches) the planner has compacted."""
     import uuid
 
-    from tidelog.session import checkpoint_root, cut_lineage
+    from tidelog.session import checkpoint_root
 
     store = runs.RunStore(spark, f"{checkpoint_root(spark)}/store-{uuid.uuid4().hex}")
-    batches = cut_lineage(write.flush_batches(log(spark, sf_dir), 2_000 if planner == "leveled" else 3_000))
-    rows = [store.write(batches.filter(F.col("flush_id") == r["flush_id"]).drop("flush_id")) for r in batches.select("flush_id").distinct().orderBy("flush_id").collect()]
-    store.commit([(*row[:7], at, row[8]) for at, row in enumerate(rows) if row])
+    store.append_batches(write.flush_batches(log(spark, sf_dir), 2_000 if planner == "leveled" else 3_000))
     compaction.compact(store, planner, MOST_RUNS)
     return resolve.snapshot(store.read())
 

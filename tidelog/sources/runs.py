@@ -61,6 +61,19 @@ class RunStore:
         created = max((r["created"] for r in self.manifest()), default=0) + 1
         return run, level, told[0], told[1], told[2], told[3], told[4], created, path
 
+    def append_batches(self, batches: DataFrame, level: int = 0) -> None:
+        """Writes a run for every flush_id of batches and lists them, in two jobs however many there are."""
+        last = F.max(F.struct("ts", "seq", "tombstone", "value")).alias("last")
+        rows = batches.groupBy("flush_id", "key").agg(last).select("flush_id", "key", "last.*")
+        path = f"{self.path}/runs/{uuid.uuid4().hex}"
+        rows.repartition("flush_id").sortWithinPartitions("flush_id", "key").write.partitionBy("flush_id").option("parquet.bloom.filter.enabled#key", "true").parquet(path)
+        told = self.spark.read.schema(rows.schema).parquet(path).groupBy("flush_id").agg(F.min("key"), F.max("key"), F.count("*"), F.count_if("tombstone"), F.max("ts").cast("string")).collect()
+        held = self.manifest()
+        first = max((r["created"] for r in held), default=0) + 1
+        new = [(uuid.uuid4().hex, level, *r[1:], first + at, f"{path}/flush_id={r[0]}") for at, r in enumerate(sorted(told))]
+        if new:
+            self.commit([*held, *new])
+
     def append(self, mutations: DataFrame, level: int = 0) -> None:
         """Writes one run and lists it."""
         if (row := self.write(mutations, level)) is not None:
