@@ -313,6 +313,18 @@ def test_shards_meet(n):
         assert any(a & m == b & m for m in masks)
 
 
+@pytest.mark.parametrize("block", [1, 7, 40, 10**6])
+def test_large_shards_are_searched_in_blocks(spark, block):
+    ship(spark)
+    rng = random.Random(5)
+    base = rng.getrandbits(63)
+    prints = sorted({base ^ (1 << rng.randrange(62)) ^ (1 << rng.randrange(62)) ^ (1 << rng.randrange(62)) for _ in range(90)})
+    edges = simhash.links(spark.createDataFrame([(p,) for p in prints], "fp long"), block=block)
+    found = {r["node"]: r["root"] for r in simhash.classes(edges).collect()}
+    expected = brute_classes(prints)
+    assert {p: found.get(p, p) for p in prints} == expected
+
+
 def test_classes_of_a_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101), (5, 5)], "a long, b long")
     found = {r["node"]: r["root"] for r in simhash.classes(edges).collect()}

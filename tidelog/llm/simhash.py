@@ -41,6 +41,8 @@ from tidelog.llm.common import cut_lineage, sliced, texts_of
 SEED, SHINGLE, RADIUS = 42, 3, 2
 #: Fingerprints that a shard holds on average at most, if bits were even.
 SHARD = 8
+#: Distinct fingerprints of one shard that a task takes at most; larger shards are searched in pairs of blocks.
+BLOCK = 20_000
 #: Pairs of a query and a tree's node that are looked at together.
 FRONTIER = 2_000_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -157,13 +159,25 @@ def local_classes(fp: np.ndarray, shard: np.ndarray, radius: int = RADIUS) -> np
     return label
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, masks: list[int] | None = None) -> DataFrame:
-    """Links (a, b) between distinct fingerprints (column fp) that connect all pairs within the radius."""
+def links(distinct: DataFrame, radius: int = RADIUS, masks: list[int] | None = None, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between distinct fingerprints (column fp) that connect all pairs within the radius.
+
+    A shard of more than ``block`` is cut into blocks by hash, and every two of its blocks
+    make a shard of their own, so that no task takes more than two blocks of one shard.
+    """
     masks = masks or shard_masks(distinct.count(), radius)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keys = F.array(*[F.struct(F.lit(k).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("part")) for k, m in enumerate(signed)])
     dealt = distinct.select("fp", F.explode(keys).alias("key")).select("key.choice", "key.part", "fp")
-    dealt = dealt.repartition("choice", "part").sortWithinPartitions("choice", "part", "fp")
+    large = dealt.groupBy("choice", "part").count().filter(F.col("count") > block).select("choice", "part", F.expr(f"(count + {block - 1}) div {block}").cast("int").alias("blocks"))
+    dealt = dealt.join(cut_lineage(large), ["choice", "part"], "left")
+    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(own, k).alias("low"), F.greatest(own, k).alias("high")))
+    whole = F.array(F.struct(F.lit(0).alias("low"), F.lit(0).alias("high")))
+    dealt = dealt.select("choice", "part", "fp", F.explode(F.when(F.col("blocks").isNull(), whole).otherwise(pairs)).alias("pair"))
+    # One number for each choice and pair of blocks: choices are few.
+    pair = F.xxhash64("choice", "pair.low", "pair.high")
+    dealt = dealt.select(pair.alias("choice"), "part", "fp").repartition("choice", "part").sortWithinPartitions("choice", "part", "fp")
 
     def linked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple[np.ndarray, ...]] = []
