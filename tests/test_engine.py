@@ -413,6 +413,17 @@ def test_shell(spark, tmp_path):
     assert limited.answer("GET none") == "not found for key none" and limited.answer("GET none") == "token limit exceeded, wait"
 
 
+def test_command_line(spark, tmp_path, monkeypatch, capsys):
+    import io
+
+    from tidelog.__main__ import main
+
+    (tmp_path / "config.json").write_text('{"TokenRate": 2, "TokenInterval": 9999}')
+    monkeypatch.setattr("sys.stdin", io.StringIO("PUT a 1\r\nGET a\n\nGET a\nEXIT\nGET a\n"))
+    main([str(tmp_path / "store"), "--config", str(tmp_path / "config.json")])
+    assert capsys.readouterr().out.splitlines() == ["added [a -> 1]", "found [a -> 1]", "token limit exceeded, wait", "bye"]
+
+
 def test_validate_sees_a_change(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     store.put_all({f"k{k}": "v" for k in range(4)})
