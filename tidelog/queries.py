@@ -7,16 +7,21 @@ from ``events.user_id`` and ``lineitem.l_partkey``, texts from ``documents``.
 from __future__ import annotations
 
 import datetime
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.functions import bloom, cms, hll, text
+from tidelog.functions.hashing import modulo, seeded_md5
 from tidelog.model import EVENTS_SQL, FINE_SQL, mutations_from_events
 from tidelog.operators import control, dictionary, integrity, resolve, scan, write
+from tidelog.operators.ordering import with_row_index
 from tidelog.plans import compaction
+from tidelog.session import checkpoint_root, cut_lineage
 from tidelog.sources import runs, wal
+from tidelog.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -102,8 +107,6 @@ def merge_runs(spark, sf_dir):
 
 @query(f"WITH log AS ({EVENTS_SQL}) SELECT key, value, ts, seq, tombstone, row_number() OVER (ORDER BY key, ts, seq) - 1 AS row_index FROM log")
 def merge_in_order(spark, sf_dir):
-    from tidelog.operators.ordering import with_row_index
-
     return with_row_index(log(spark, sf_dir), "key", "ts", "seq")
 
 
@@ -207,10 +210,6 @@ def memtable_full(spark, sf_dir):
 
 def _compacted(spark: SparkSession, sf_dir: str, planner: str) -> DataFrame:
     """The snapshot of a store whose runs (flush batches) the planner has compacted."""
-    import uuid
-
-    from tidelog.session import checkpoint_root
-
     store = runs.RunStore(spark, f"{checkpoint_root(spark)}/store-{uuid.uuid4().hex}")
     store.append_batches(write.flush_batches(log(spark, sf_dir), 2_000 if planner == "leveled" else 3_000))
     compaction.compact(store, planner, MOST_RUNS)
@@ -272,6 +271,29 @@ def crc_check(spark, sf_dir):
     return rows.select("key", "seq", "crc", (F.col("crc") == F.crc32(integrity.payload())).alias("ok"))
 
 
+# Streams.
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as a stream of mutations. The path is a pattern, as a stream's own path must be a folder and the table may be one file."""
+    return mutations_from_events(live.mutations(spark, f"{sf_dir}/events.parque[t]", table(spark, sf_dir, "events").schema))
+
+
+@query(f"WITH {LATEST} SELECT * FROM snap")
+def stream_snapshot(spark, sf_dir):
+    root = f"{checkpoint_root(spark)}/stream-{uuid.uuid4().hex}"
+    live.materialize(_streamed(spark, sf_dir), f"{root}/out", f"{root}/state").awaitTermination()
+    return spark.read.parquet(f"{root}/out").filter(resolve.live()).select("key", "value", "ts", "seq")
+
+
+@query(f"WITH {LATEST} SELECT * FROM snap")
+def stream_flush(spark, sf_dir):
+    root = f"{checkpoint_root(spark)}/stream-{uuid.uuid4().hex}"
+    store = runs.RunStore(spark, f"{root}/store")
+    live.flush(_streamed(spark, sf_dir), store, f"{root}/state").awaitTermination()
+    return resolve.snapshot(store.read())
+
+
 # Sketches.
 
 BIT = "(('0x' || substr(md5(element::BLOB || unhex(lpad(to_hex(seed), 8, '0'))), 1, 16))::UBIGINT % {m})::BIGINT"
@@ -318,8 +340,6 @@ probe AS (SELECT DISTINCT {BIT.format(m=BLOOM.m).replace("element", "'u000042'")
 SELECT flush_id, count(*) = (SELECT count(*) FROM probe) AS maybe FROM bits WHERE bit IN (SELECT bit FROM probe) GROUP BY flush_id""")
 def table_bloom_prune(spark, sf_dir):
     """The runs whose filter shares a bit with a key, and whether they may hold it."""
-    from tidelog.functions.hashing import modulo, seeded_md5
-
     seeds = F.explode(F.sequence(F.lit(0), F.lit(BLOOM.k - 1))).alias("seed")
     bits = flush_batches(spark, sf_dir).select("flush_id", "key", seeds).select("flush_id", modulo(seeded_md5(F.col("key"), F.col("seed")), BLOOM.m).alias("bit")).distinct()
     probe = BLOOM.add(spark.sql("SELECT 'u000042' AS element"))
@@ -498,8 +518,6 @@ def dictionary_encode(spark, sf_dir):
 
 @query(f"SELECT key, seq FROM ({EVENTS_SQL})")
 def dictionary_decode(spark, sf_dir):
-    from tidelog.session import cut_lineage
-
     rows = log(spark, sf_dir).select("key", "seq")
     ids = cut_lineage(dictionary.build(log(spark, sf_dir)))
     return dictionary.decode(dictionary.encode(rows, ids), ids)

@@ -25,6 +25,15 @@ def snapshots(stream: DataFrame) -> DataFrame:
     return newest(stream)
 
 
+def materialize(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keeps the newest mutation of every key of stream as Parquet at path, written anew after each micro-batch."""
+
+    def write(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    return snapshots(stream).writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def flush(stream: DataFrame, store: RunStore, checkpoint: str, after: Callable[[RunStore], object] | None = None) -> StreamingQuery:
     """Writes each micro-batch of stream as one run at level 0, then calls ``after`` (such as a compaction).
 
