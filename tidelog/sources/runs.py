@@ -84,8 +84,11 @@ class RunStore:
         rows = [r for r in self.manifest() if (high is None or r["min_key"] <= high) and (low is None or r["max_key"] >= low)]
         if not rows:
             return None
-        reader = self.spark.read if schema is None else self.spark.read.schema(schema)
-        return reader.parquet(*[r["path"] for r in rows])
+        return self.open([r["path"] for r in rows], schema)
+
+    def open(self, paths: list[str], schema=None) -> DataFrame:
+        """All rows of the runs at paths as one scan; without a schema the first run's holds for all."""
+        return self.spark.read.schema(schema or self.spark.read.parquet(paths[0]).schema).parquet(*paths)
 
 
 def manifest_of(batches: DataFrame) -> DataFrame:
