@@ -459,6 +459,15 @@ PAGES = {
     "<article class='post no-sidebar'><h1>Title</h1><p>&#x41;&nbsp;&eacute;\n\t x</p></article><article class=comment><p>no</p></article>": "Title\nA é x",
     "<ARTICLE><P TITLE='a>b'>In</P><FORM><P>no</P></FORM><ASIDE>no</ASIDE></ARTICLE>": "In",
     "<article><p>cut <a href='x": "cut",
+    "<nav>a b</nav><div class='content-sidebar-wrap'><article><h1>T</h1><p>Yes it is</p></article><aside>no</aside></div><footer>c</footer>": "T\nYes it is",
+    "<div class='site has-sidebar'><article><h1>T</h1><p>Yes</p></article></div>": "T\nYes",
+    "<div class='share-enabled'><main><p>Yes</p><article>too</article></main></div>": "Yes\ntoo",
+    "<form id=aspnetForm><nav>a b</nav><article><p>Yes</p><div class=ad>no</div></article><div class=comment-list><article>no</article></div></form>": "Yes",
+    "<div class=sidebar><article><p>Yes</p></article></div>": "Yes",
+    "<main><div class='content-sidebar-wrap'><article><p>Yes</p></article></div></main>": "Yes",
+    "<article><p>Yes</p></article><div class='related-posts'><article>no</article></div>": "Yes",
+    "<article><p>Yes</p><section class=comments><article>no</article></section></article>": "Yes",
+    "<article><div class='entry-header'><h1>T</h1><p>no</p></div><p>Yes</p></article>": "T\nYes",
 }
 
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cache
 
 import numpy as np
@@ -38,6 +38,10 @@ CLOSED_BY_BLOCK = frozenset(("p",))
 HINTS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus discussion disclaimer footer header legal masthead menu nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe subscription teaser toolbar widget".split()
 )
+#: Words that make a class name tell of what an element has or lacks, before and after a word of HINTS.
+BEFORE, AFTER = frozenset(("has", "no", "with", "without")), frozenset(("enabled", "disabled"))
+#: Those of BOILER that may stand around a whole page.
+FORMS = frozenset(("form", "fieldset"))
 MAIN = frozenset(("article", "main", "body", "html"))
 #: The only class names that mark one of these elements itself.
 MAIN_HINTS = frozenset(("ad", "advert", "advertisement", "comment", "comment-body", "promo", "reply", "sponsored", "teaser"))
@@ -48,6 +52,17 @@ _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|(
 _WORD = re.compile(r"[^\W_]+")
 
 
+@dataclass(frozen=True, eq=False)
+class Unit:
+    """An article or main element (of an article in main, the article), with the marks open around it."""
+
+    name: str
+    elements: int
+    forms: int
+    whole: int
+    parts: int
+
+
 @dataclass
 class Block:
     text: str
@@ -57,15 +72,25 @@ class Block:
     boiler: bool
     hinted: bool
     heading: bool
+    unit: Unit | None = None
+    #: boiler and hinted by the marks within the unit alone.
+    inner: tuple[bool, bool] = (False, False)
 
     @property
     def density(self) -> float:
         return self.linked / self.words if self.words else 0.0
 
 
-def _hinted(name: str, attributes: str) -> bool:
-    values = ["".join(m).lower() for m in _NAMES.findall(attributes)]
-    return any(MAIN_HINTS.intersection(v.split()) if name in MAIN else HINTS.intersection(_WORD.findall(v)) for v in values)
+def _hints(name: str, attributes: str) -> tuple[set[str], set[str]]:
+    """The words of HINTS that are whole names, and those that are parts of a name only."""
+    names = [n for m in _NAMES.findall(attributes) for n in "".join(m).lower().split()]
+    if name in MAIN:
+        return set(MAIN_HINTS.intersection(names)), set()
+    whole, parts = set(HINTS.intersection(names)), set()
+    for n in names:
+        words = _WORD.findall(n)
+        parts.update(w for before, w, after in zip(["", *words], words, [*words[1:], ""], strict=False) if w in HINTS and before not in BEFORE and after not in AFTER)
+    return whole, parts - whole
 
 
 class _Reader:
@@ -73,9 +98,14 @@ class _Reader:
 
     def __init__(self):
         self.blocks: list[Block] = []
-        self.open: list[tuple[str, bool, bool, bool]] = []
+        self.open: list[tuple[str, tuple[int, ...], bool, Unit | None]] = []
         self.parts: list[tuple[str, bool]] = []
-        self.links = self.articles = self.boilers = self.hints = 0
+        self.links = self.articles = 0
+        #: Open marks: elements of BOILER without forms, forms, whole hints, hints in parts of names.
+        self.marks = (0, 0, 0, 0)
+        #: Those of marks that come from an article's header, in which its title may stand.
+        self.heads = (0, 0, 0, 0)
+        self.unit: Unit | None = None
 
     def text(self, raw: str) -> None:
         self.parts.append((raw, self.links > 0))
@@ -89,8 +119,13 @@ class _Reader:
         words = "".join(t for t, _ in texts).split()
         if words:
             linked = sum(len(t.split()) for t, link in texts if link)
-            heading = any(name in ("h1", "h2", "h3", "h4", "h5", "h6") for name, *_ in self.open)
-            self.blocks.append(Block(" ".join(words), len(words), min(linked, len(words)), self.articles > 0, self.boilers > 0, self.hints > 0, heading))
+            names = {name for name, *_ in self.open}
+            title = not names.isdisjoint(("h1", "h2"))
+            elements, forms, whole, parts = (m - h for m, h in zip(self.marks, self.heads, strict=True)) if title else self.marks
+            unit = self.unit
+            inner = (elements + forms > unit.elements + unit.forms, whole + parts > unit.whole + unit.parts) if unit else (False, False)
+            heading = not names.isdisjoint(("h1", "h2", "h3", "h4", "h5", "h6"))
+            self.blocks.append(Block(" ".join(words), len(words), min(linked, len(words)), self.articles > 0, elements + forms > 0, whole + parts > 0, heading, unit, inner))
 
     def start(self, name: str, attributes: str) -> None:
         if name in BLOCKS:
@@ -101,12 +136,18 @@ class _Reader:
             self.text(" ")
         if name in VOID or attributes.endswith("/") and name not in BLOCKS:
             return
-        marks = (name in ("article", "main"), name in BOILER, _hinted(name, attributes))
-        self.open.append((name, *marks))
+        whole, parts = _hints(name, attributes)
+        added = (int(name in BOILER and name not in FORMS), int(name in FORMS), int(bool(whole)), int(bool(parts) and not whole))
+        head = self.articles > 0 and (name == "header" or name not in BOILER) and whole | parts <= {"header"} and any(added)
+        self.open.append((name, added, head, self.unit))
+        if name in ("article", "main"):
+            self.articles += 1
+            if self.unit is None or name == "article" and self.unit.name == "main":
+                self.unit = Unit(name, *self.marks)
         self.links += name == "a"
-        self.articles += marks[0]
-        self.boilers += marks[1]
-        self.hints += marks[2]
+        self.marks = tuple(m + a for m, a in zip(self.marks, added, strict=True))
+        if head:
+            self.heads = tuple(m + a for m, a in zip(self.heads, added, strict=True))
 
     def end(self, name: str) -> None:
         if name in BLOCKS:
@@ -118,11 +159,12 @@ class _Reader:
 
     def _close(self, name: str) -> None:
         while self.open:
-            closed, article, boiler, hint = self.open.pop()
+            closed, added, head, self.unit = self.open.pop()
             self.links -= closed == "a"
-            self.articles -= article
-            self.boilers -= boiler
-            self.hints -= hint
+            self.articles -= closed in ("article", "main")
+            self.marks = tuple(m - a for m, a in zip(self.marks, added, strict=True))
+            if head:
+                self.heads = tuple(m - a for m, a in zip(self.heads, added, strict=True))
             if closed == name:
                 break
 
@@ -161,6 +203,24 @@ def blocks(page: str | None) -> list[Block]:
     return reader.blocks
 
 
+def unframed(found: list[Block]) -> list[Block]:
+    """found, with the article free of the marks around it if all articles of the page stand in such marks.
+
+    It is the article with the fewest of them (a main if there is no article).  Marks like aside
+    stay with an article, as do whole hints with more than one, as of comments; and all stay if the
+    text outside of marks is longer than the article, which is then a side matter of its page.
+    """
+    clean = [b for b in found if b.unit and not any(b.inner)]
+    units = {b.unit for b in clean if b.unit.name == "article"} or {b.unit for b in clean}
+    least = min(((u.elements if u.name == "article" else 0, u.whole, u.forms + u.parts) for u in units), default=(0, 0, 0))
+    freed = {u for u in units if (u.elements if u.name == "article" else 0, u.whole, u.forms + u.parts) == least}
+    if least[0] or least[1] and len(freed) > 1 or not any(u.elements + u.forms + u.whole + u.parts for u in freed):
+        return found
+    if sum(b.words for b in clean if b.unit in freed) <= sum(b.words - b.linked for b in found if not b.boiler and not b.hinted and b.unit not in freed):
+        return found
+    return [replace(b, boiler=b.inner[0], hinted=b.inner[1]) if b.unit in freed else b for b in found]
+
+
 FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "article", "boiler", "hinted", "heading", "page_article")
 
 
@@ -233,6 +293,10 @@ LABELLED = (
         "0" + "11" + "00" + "0" + "1" + "0" + "00",
     ),
     ("<body><article><h1>List</h1><ol><li><a href=a>First link</a></li><li><a href=b>Second link</a></li></ol><blockquote>A quote</blockquote></article><div>Copyright</div></body>", "1" + "11" + "1" + "0"),
+    (
+        "<body><form id=aspnetForm><div class='content-sidebar-wrap'><article><div class=entry-header><h1>A framed title</h1></div><p>The article stands in a form and in a wrapper.</p></article></div></form></body>",
+        "11",
+    ),
 )
 
 
@@ -241,7 +305,7 @@ def tree() -> tuple:
     """The decision tree, grown on LABELLED by Gini impurity: (feature, value, left, right) or a leaf's share of article text."""
     rows, labels = [], []
     for page, marks in LABELLED:
-        found = blocks(page)
+        found = unframed(blocks(page))
         if len(found) != len(marks):
             raise ValueError(f"{len(found)} blocks have {len(marks)} labels")
         rows.append(features(found))
@@ -284,7 +348,12 @@ def is_article(row: np.ndarray) -> bool:
 def main_text(page: str | None) -> str:
     """The article's blocks, one per line."""
     found = blocks(page)
-    return "\n".join(b.text for b, row in zip(found, features(found), strict=True) if is_article(row))
+    kept = [is_article(row) for row in features(found)]
+    freed = unframed(found)
+    if freed is not found:
+        # What the page has without its frame's marks comes on top of what it has with them.
+        kept = [k or is_article(row) for k, row in zip(kept, features(freed), strict=True)]
+    return "\n".join(b.text for b, k in zip(found, kept, strict=True) if k)
 
 
 def extract(pages: DataFrame) -> DataFrame:
