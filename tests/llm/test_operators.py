@@ -468,6 +468,8 @@ PAGES = {
     "<article><p>Yes</p></article><div class='related-posts'><article>no</article></div>": "Yes",
     "<article><p>Yes</p><section class=comments><article>no</article></section></article>": "Yes",
     "<article><div class='entry-header'><h1>T</h1><p>no</p></div><p>Yes</p></article>": "T\nYes",
+    "<article><p>a</p><svg/><p>b</p></article>": "a\nb",
+    "<article><p>a<svg width='1' /> b</p><math xmlns=x /><p>c</p><svg><path d='M0'/><text>no</text></svg><p>d</p><script src=x />no</script></article>": "a b\nc\nd",
 }
 
 

@@ -32,6 +32,8 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style template noscript iframe object svg math canvas textarea title".split())
+#: Those of RAW that a slash before their tag's end closes.
+FOREIGN = frozenset(("svg", "math"))
 BOILER = frozenset("nav header footer aside form menu button select fieldset dialog".split())
 CLOSED_BY_BLOCK = frozenset(("p",))
 #: Words in class, id and role values that mark what is not the article.
@@ -183,6 +185,8 @@ def blocks(page: str | None) -> list[Block]:
         name = m[2].lower()
         if m[1]:
             reader.end(name)
+        elif name in FOREIGN and m[3].endswith("/"):
+            continue
         elif name in RAW:
             if name in BLOCKS:
                 reader.flush()
