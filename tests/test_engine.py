@@ -11,10 +11,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidelog import config
+from tidelog import config, queries
 from tidelog.engine import VERBS, Shell, Store
 from tidelog.functions import bloom, cms, hll, text
-from tidelog.model import MUTATION, RESERVED_PREFIX, check_key
+from tidelog.model import MUTATION, RESERVED_PREFIX, check_key, mutations_from_events
 from tidelog.operators import control, dictionary, integrity, ordering, resolve, scan, write
 from tidelog.plans import compaction
 from tidelog.plans.compaction import Run
@@ -122,6 +122,20 @@ def test_multi_get(spark):
     assert {r["key"]: (r["found"], r["value"]) for r in scan.multi_get(log, keys).collect()} == {k: (k in expected, expected.get(k)) for k in ("k01", "k02", "none")}
 
 
+def test_long_ids_keep_their_keys(spark, tmp_path):
+    rows = [(1, 1234560, "view", 1), (2, 1234569, "click", 2), (3, 1234561, "error", 3), (4, 42, "view", 4), (5, 123456, "view", 5), (6, None, "view", 6)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, n long").withColumn("ts", F.timestamp_seconds("n").cast("timestamp_ntz"))
+    keys = {1: "u1234560", 2: "u1234569", 3: "u1234561", 4: "u000042", 5: "u123456", 6: None}
+    assert {r["seq"]: r["key"] for r in mutations_from_events(events).collect()} == keys
+    assert {r["key"] for r in mutations_from_events(events.filter("event_id = 1"), fine=True).collect()} == {"u1234560:view"}
+    events = events.filter("user_id is not null")
+    assert {r["key"] for r in resolve.snapshot(mutations_from_events(events)).collect()} == {"u1234560", "u1234569", "u000042", "u123456"}
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    spark.createDataFrame([(1234560,), (1234561,), (42,), (7,)], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
+    found = {r["key"]: r["value"] for r in queries.QUERIES["kv_multi_get"](spark, str(tmp_path)).collect()}
+    assert found == {"u1234560": "view:1", "u1234561": None, "u000042": "view:4", "u000007": None}
+
+
 def test_row_index(spark):
     rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x"))
     assert all(r["x"] == r["row_index"] for r in ordering.with_row_index(rows, "x").collect())

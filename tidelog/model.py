@@ -37,7 +37,9 @@ def is_user_key(key: Column) -> Column:
 
 
 def user_key(user_id: Column) -> Column:
-    return F.concat(F.lit("u"), F.lpad(user_id.cast("string"), 6, "0"))
+    """u and the id, with zeros up to six digits; longer ids stay whole (lpad alone would cut them)."""
+    digits = user_id.cast("string")
+    return F.concat(F.lit("u"), F.lpad(digits, F.greatest(F.lit(6), F.length(digits)), F.lit("0")))
 
 
 def mutations_from_events(events: DataFrame, fine: bool = False) -> DataFrame:
@@ -50,7 +52,7 @@ def mutations_from_events(events: DataFrame, fine: bool = False) -> DataFrame:
     return events.select(key.alias("key"), value.alias("value"), "ts", F.col("event_id").alias("seq"), gone.alias("tombstone"))
 
 
-#: The same in DuckDB SQL.
+#: The same in DuckDB SQL, for ids of up to six digits: its lpad cuts longer ones.
 EVENTS_SQL = """SELECT 'u' || lpad(user_id::VARCHAR, 6, '0') AS key, CASE WHEN event_type <> 'error' THEN event_type || ':' || event_id END AS value,
        ts, event_id AS seq, event_type = 'error' AS tombstone FROM events"""
 FINE_SQL = EVENTS_SQL.replace("'0') AS key", "'0') || ':' || event_type AS key")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions import bloom, cms, hll, text
 from tidelog.functions.hashing import modulo, seeded_md5
-from tidelog.model import EVENTS_SQL, FINE_SQL, mutations_from_events
+from tidelog.model import EVENTS_SQL, FINE_SQL, mutations_from_events, user_key
 from tidelog.operators import control, dictionary, integrity, resolve, scan, write
 from tidelog.operators.ordering import with_row_index
 from tidelog.plans import compaction
@@ -125,7 +125,7 @@ def kv_get_missing(spark, sf_dir):
 
 @query(f"WITH {LATEST}, wanted AS (SELECT DISTINCT 'u' || lpad(c_custkey::VARCHAR, 6, '0') AS key FROM customer) SELECT w.key, s.key IS NOT NULL AS found, s.value FROM wanted w LEFT JOIN snap s ON w.key = s.key")
 def kv_multi_get(spark, sf_dir):
-    keys = table(spark, sf_dir, "customer").select(F.concat(F.lit("u"), F.lpad(F.col("c_custkey").cast("string"), 6, "0")).alias("key"))
+    keys = table(spark, sf_dir, "customer").select(user_key(F.col("c_custkey")).alias("key"))
     return scan.multi_get(log(spark, sf_dir), keys)
 
 
