@@ -469,6 +469,8 @@ PAGES = {
     "<article><p>Yes</p><section class=comments><article>no</article></section></article>": "Yes",
     "<article><div class='entry-header'><h1>T</h1><p>no</p></div><p>Yes</p></article>": "T\nYes",
     "<article><p>a</p><svg/><p>b</p></article>": "a\nb",
+    "<article><p>a <a href=/bob's>link</a> text</p><p>don't stop</p><p>x</p></article>": "a link text\ndon't stop\nx",
+    "<article><p>a <a href = 'x>y' title=\"b>c\" k=?q='v w'>l</a> t</p><p a=\"x\"b='>'>in</p><p title='a'b'c>isn't</p></article>": "a l t\nin\nisn't",
     "<article><p>a<svg width='1' /> b</p><math xmlns=x /><p>c</p><svg><path d='M0'/><text>no</text></svg><p>d</p><script src=x />no</script></article>": "a b\nc\nd",
 }
 

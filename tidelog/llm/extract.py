@@ -48,7 +48,8 @@ MAIN = frozenset(("article", "main", "body", "html"))
 #: The only class names that mark one of these elements itself.
 MAIN_HINTS = frozenset(("ad", "advert", "advertisement", "comment", "comment-body", "promo", "reply", "sponsored", "teaser"))
 
-_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?/][^>]*+>""", re.DOTALL)
+#: A quote opens a value only behind "="; elsewhere it is a character like others, and the first ">" ends the tag.
+_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)*+)>|<[!?/][^>]*+>""", re.DOTALL)
 _UNFINISHED = re.compile(r"<[!?/a-zA-Z][^>]*\Z")
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _WORD = re.compile(r"[^\W_]+")
