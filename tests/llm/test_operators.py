@@ -421,6 +421,21 @@ def test_secrets(spark, docs, none, table):
     assert [r["n_chars"] for r in kept.filter("text like '%[assign]%'").collect()] == [len("a text without an id, [assign]")] * 2
 
 
+BEGIN, END = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+WHOLE = {
+    f"redis://:hunter22@host redis://{'u' * 200}:{'p' * 500}@host x://:abc@h": "redis://[login]@host redis://[login]@host x://:abc@h",
+    f"a {BEGIN}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\nQUJD+/=\n{END} b": "a [pem] b",
+    f'{{"key": "{BEGIN}\\nQUJD\\nREVG\\n{END}\\n"}}': '{"key": "[pem]\\n"}',
+    f"{BEGIN}\\nQUJD\\nREVG\\n, cut": "[pem], cut",
+    f"{BEGIN}\nDEK-Info: AES-128-CBC,0A\n\nQUJD\n. Then {BEGIN}\nREVG\n{END}.": "[pem]. Then [pem].",
+}
+
+
+@pytest.mark.parametrize("t", WHOLE)
+def test_secrets_are_masked_as_a_whole(t):
+    assert secrets_gone(t) == WHOLE[t]
+
+
 def test_ledger_scans_only_what_is_new(spark, tmp_path):
     path = str(tmp_path / "ledger")
     one = spark.createDataFrame([("a", "token = abcdefgh1234"), ("b", "nothing"), ("c", "nothing")], "doc_id string, text string")

@@ -24,18 +24,21 @@ from pyspark.sql import functions as F
 from tidelog.llm.common import cut_lineage, sliced, texts_of
 
 #: Changes whenever a rule below does.
-RULE_VERSION = "1"
+RULE_VERSION = "2"
 # The base rules (kind, pattern, group that counts, least length).
 BASE_RULES = (
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?((?-i:[A-Za-z0-9+/_.=-]+))""", re.IGNORECASE | re.ASCII), 2, 8),
     ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 16),
     ("hex", re.compile(r"[0-9a-f]{32,}"), 0, 32),
 )
+# A key runs to its END line, whatever stands between but another BEGIN or END; one without an END line, as far as headers, base64 and line ends (escaped ones too) go.
+_TO_END = r"[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+-----END (?:[A-Z]+ )*PRIVATE KEY-----"
+_NO_END = r"(?:(?:\s|\\+[nr])*+(?:Proc-Type|DEK-Info):[^\r\n\\]*+)*+(?:[A-Za-z0-9+/=\s]|\\+[nr/\s])*+"
 #: Rules beyond these: (kind, a string that a match holds, pattern).
 MORE_RULES = (
-    ("pem", "PRIVATE KEY-----", re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END (?:[A-Z]+ )*PRIVATE KEY-----)?")),
+    ("pem", "PRIVATE KEY-----", re.compile(rf"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?:{_TO_END}|{_NO_END})")),
     ("jwt", "eyJ", re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
-    ("login", "://", re.compile(r"(?<=://)[^\s/?#:@]{1,64}:[^\s/?#@]{4,128}(?=@)")),
+    ("login", "://", re.compile(r"(?<=://)[^\s/?#:@]*+:[^\s/?#@]{4,}+(?=@)")),
 )
 KINDS = [*(r[0] for r in BASE_RULES), *(r[0] for r in MORE_RULES)]
 _KEYWORDS = ("pass", "secret", "token", "api")
