@@ -289,6 +289,18 @@ def test_simhash(docs, none, table):
     assert simhash.one_per_class(none).collect() == []
 
 
+def test_one_of_each_class_stays_without_ids_and_with_equal_ones(spark):
+    words = [f"w{k}" for k in range(400)]
+    base = " ".join(words)
+    near = next(t for k in range(400) if (t := " ".join([*words[:k], "other", *words[k + 1 :]])) and 0 < (int(simhash.simhashes([t])[0]) ^ int(simhash.simhashes([base])[0])).bit_count() <= 2)
+    for a, b in [(None, None), (7, 7), (7, None), (None, 7), (7, 8)]:
+        rows = [(a, base), (b, near), (b, near), (None, "quite another text"), (9, "and one more of its own")]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        kept = Counter(map(tuple, simhash.one_per_class(df).collect()))
+        assert sum(n for (_, t), n in kept.items() if t in (base, near)) == 1 and kept.total() == 3
+        assert min((d for d in (a, b) if d), default=None) in {d for d, t in kept if t in (base, near)}
+
+
 @pytest.mark.parametrize("radius", [0, 1, 2, 3])
 def test_bk_trees_find_all_links(radius):
     rng = np.random.default_rng(radius)

@@ -235,33 +235,35 @@ def classes(edges: DataFrame) -> DataFrame:
     return edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
 
 
-def _classed(docs: DataFrame, radius: int) -> DataFrame:
-    """doc_id, text_key, fp and component_id for every row of docs."""
+def _classed(docs: DataFrame, radius: int, name: str) -> DataFrame:
+    """doc_id, text_key, fp and name for every row of docs: component_id, or root, a fingerprint of its class that is never null."""
     fps = cut_lineage(fingerprints(docs))
     firsts = cut_lineage(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
     members = classes(links(firsts.select("fp"), radius))
     roots = members.select("root").distinct().select(F.col("root").alias("node"), "root")
     grouped = members.unionByName(roots).join(firsts, F.col("node") == F.col("fp")).select("fp", "root", "first")
     smallest = grouped.groupBy("root").agg(F.min("first").alias("smallest"))
-    linked = grouped.join(smallest, "root").select("fp", "smallest")
+    linked = grouped.join(smallest, "root").select("fp", "root", "smallest")
+    of = {"component_id": F.coalesce("smallest", "first"), "root": F.coalesce("root", "fp")}[name]
     # Written out, so that adaptive execution can split the partition of a hot fingerprint in the last join.
-    by_fp = cut_lineage(firsts.join(linked, "fp", "left").select("fp", F.coalesce("smallest", "first").alias("component_id")))
+    by_fp = cut_lineage(firsts.join(linked, "fp", "left").select("fp", of.alias(name)))
     return fps.join(by_fp, "fp")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint, component_id for every row of docs."""
-    return _classed(docs, radius).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return _classed(docs, radius, "component_id").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_per_class(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs, with their columns, that give their class its id; of rows equal in doc_id and text one stays.
+    """One row of docs, with its columns, for each class: that of the smallest doc_id.
 
-    A row without a doc_id stays if its whole class has none.
+    Rows without a doc_id come after all others; of rows equal in doc_id the text's hash decides.
     """
-    # A key without nulls, by which the rows are dealt once for both steps.
+    # A key without nulls, by which the rows are dealt once for both steps; equal texts are in one class, so no two classes share a key.
     key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("doc_id").isNull().alias("_none")]
-    ids = _classed(docs, radius).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*key, F.col("text_key").alias("_text")).distinct()
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("least")
+    ids = _classed(docs, radius, "root").groupBy("root").agg(least).select("least.doc_id", "least.text_key").select(*key, F.col("text_key").alias("_text"))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), *key, F.xxhash64("text").alias("_text"))
     kept = rows.join(ids, ["_id", "_none", "_text"], "left_semi").dropDuplicates(["_id", "_none", "_text"])
     return kept.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
