@@ -5,14 +5,18 @@ window that occurs more than once in the corpus stays where it occurs first (by
 doc_id, then text hash, then line); of its later occurrences all lines from the
 first to the last of the window go.  Positions covered by several windows are merged.
 
-Windows are counted with partial sums and joined back by hash, so that a window that
-a third of all rows hold is never gathered in one task.
+Windows are counted with partial sums.  Those that repeat, and later the positions that
+go, are written out before they are joined back by hash: both sides of each join are then
+dealt for it alone, and adaptive execution splits the partition of a window or document that
+a third of all rows hold, so that it is not gathered in one task.
 
 Edge cases: a null or empty text has no window and stays.  Texts with fewer than
 three filled lines stay as they are.  Blank lines between the lines of a window go
 with it, others stay.  Lines are compared without white space at their ends.  Rows
 that are equal in doc_id and text count as one document and get the same result.  A
 null doc_id comes first in the order.  Extra columns are kept, whatever their names.
+Very long texts are handled whole, in time in proportion to their lines: each is split
+a fixed number of times, however many of its lines go.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.llm.common import cut_lineage
+
 WINDOW = 3
 _BLANKS = " \t\r\x0b\x0c"
 
@@ -47,21 +53,23 @@ def covered(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     found = windows(docs, window)
     place = F.struct("doc_id", "text_key", "first")
     repeated = found.groupBy("h1", "h2").agg(F.min(place).alias("kept"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    later = found.join(repeated, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("kept")))
+    later = found.join(cut_lineage(repeated), ["h1", "h2"]).filter(~place.eqNullSafe(F.col("kept")))
     spans = F.transform(F.collect_set(F.struct("first", "last")), lambda s: F.sequence(s["first"], s["last"]))
     return later.groupBy("doc_id", "text_key").agg(F.array_distinct(F.flatten(spans)).alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows and columns of docs with the repeated lines taken out of text, as a struct each: (row, n_lines, n_removed, text)."""
-    gone = covered(docs.select("doc_id", "text"), window).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "removed")
+    gone = cut_lineage(covered(docs.select("doc_id", "text"), window)).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "removed")
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.xxhash64("text").alias("_row_key"))
     joined = rows.join(gone, F.col("row.doc_id").eqNullSafe(F.col("_id")) & (F.col("_row_key") == F.col("_key")), "left")
     text, lines = F.col("row.text"), _lines(F.col("row.text"))
     n_lines = F.when(text.isNull(), 0).otherwise(F.size(lines))
-    left = F.array_except(F.sequence(F.lit(0), n_lines - 1), F.col("removed"))
+    # A generator's output is a column of its own: the split text, made once, and not once per line in the lambda below.
+    split = joined.select("row", "removed", F.explode(F.array(F.when(F.col("removed").isNotNull(), lines))).alias("lines"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("removed"))
     kept = F.array_join(F.transform(left, lambda k: F.get("lines", k)), "\n")
-    return joined.withColumn("lines", lines).select("row", n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.when(F.col("removed").isNull(), text).otherwise(kept).alias("text"))
+    return split.select("row", n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.when(F.col("removed").isNull(), text).otherwise(kept).alias("text"))
 
 
 def report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
