@@ -1,9 +1,11 @@
 """The text operators against brute force, on edge cases and on small tables."""
 
 import hashlib
+import io
 import os
 import random
 import re
+import wave
 import zlib
 from collections import Counter
 
@@ -95,6 +97,26 @@ def test_chunks_are_shared_and_rebuilt(spark):
     assert {r["doc_id"]: r["payload_sha256"] for r in media.media_columns(docs).collect()} == {d: hashlib.sha256(media.payload_of(t)[1]).hexdigest() for d, t in texts(docs)}
 
 
+def test_stored_form_is_a_wav_file():
+    payload = media.payload_of("some text")[1]
+    with wave.open(io.BytesIO(media.encode_media(payload))) as sound:
+        assert (sound.getnchannels(), sound.getsampwidth(), sound.getnframes()) == (1, 1, len(payload))
+        assert sound.readframes(len(payload)) == payload
+    samples = list(payload)
+    steps = [abs(a - b) for a, b in zip(samples, samples[1:], strict=False)]
+    assert media.features_of(payload) == f"samples=64;mean={sum(samples) / 64:.4f};min=0;max={max(samples)};step={sum(steps) / 63:.4f}"
+
+
+def test_chunk_store_on_disk(spark, docs, tmp_path):
+    rng = random.Random(2)
+    common = "".join(rng.choice("abcdefgh ") for _ in range(60_000))
+    more = docs.select("doc_id", "text").unionAll(spark.createDataFrame([(k, f"{k}" * (k * 500) + common * (k % 3)) for k in range(20, 27)], "doc_id long, text string"))
+    media.write_store(more, str(tmp_path / "store"))
+    chunks = spark.read.parquet(str(tmp_path / "store" / media.CHUNKS))
+    assert chunks.count() == chunks.select("digest").distinct().count() == media.chunk_lists(more).select(F.explode("digests")).distinct().count()
+    assert Counter(media.read_store(spark, str(tmp_path / "store")).collect()) == Counter(media.media_columns(more).collect())
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.binary(max_size=30_000), min_size=1, max_size=3))
 def test_chunks_cover_their_media(medias):

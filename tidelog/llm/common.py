@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidelog.session import checkpoint_root, cut_lineage
 
-__all__ = ["by_rows", "checkpoint_root", "cut_lineage", "documents", "pages", "ship", "sliced", "texts_of"]
+__all__ = ["checkpoint_root", "cut_by", "cut_lineage", "documents", "pages", "ship", "sliced", "texts_of"]
 
 #: Text bytes that a worker turns into Python objects at once.
 SLICE_BYTES = 4 << 20
@@ -37,23 +37,18 @@ def ship(spark: SparkSession) -> SparkSession:
 def sliced(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts record batches so that column holds about ``limit`` bytes in each (one row at least)."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0)
-        ends = np.cumsum(np.asarray(lengths, dtype=np.int64))
-        start = 0
-        while start < batch.num_rows:
-            base = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
-            yield batch.slice(start, stop - start)
-            start = stop
-
-
-def by_rows(batches: Iterable[pa.RecordBatch], limit: int = 1000) -> Iterator[pa.RecordBatch]:
-    """Cuts record batches into slices of at most ``limit`` rows."""
-    for batch in batches:
-        for start in range(0, batch.num_rows, limit):
-            yield batch.slice(start, limit)
+        yield from cut_by(batch, np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)), limit)
+
+
+def cut_by(batch: pa.RecordBatch, sizes: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cuts a record batch into slices whose rows' sizes add up to ``limit`` at most (one row at least)."""
+    ends = np.cumsum(sizes, dtype=np.int64)
+    start = 0
+    while start < batch.num_rows:
+        base = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
