@@ -11,17 +11,20 @@ For a merge-trained vocabulary (BPE) that rule picks the very pieces that mergin
 an encoding is the only path whose neighbouring pieces are never merged
 across.  ``Vocabulary.apart`` decides that for a pair from the order in which the
 merges inside both pieces happened.  Runs of several word-start marks break the order
-(their pieces have scores out of turn) and go through the merges themselves.
+(their pieces have scores out of turn) and go through the merges themselves, from a heap.
 
 Edge cases: a null or empty text has no ids.  Characters that are no piece become
 their UTF-8 bytes.  The word-start mark itself can't be told from a space, so that a
-text with one decodes to a space.  ``doc_id`` may be null or repeat; extra columns
-are ignored.  An empty table gives an empty result.
+text with one decodes to a space.  Very long texts are encoded whole, in parts that end
+at the borders of segments; only a single segment (a stretch without space or line end)
+is always held at once, with the arrays made of it.  ``doc_id`` may be null or repeat;
+extra columns, whatever their names, are ignored.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 import zlib
 from collections.abc import Iterable, Iterator
@@ -36,10 +39,16 @@ from tidelog.llm.common import sliced, texts_of
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-#: Segments that a worker remembers, and slots of its table of decided pairs (a power of 2).
-CACHED_SEGMENTS, PAIR_BITS = 300_000, 20
-_SEGMENT = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
+#: Characters of segments that a worker remembers, pairs that it has decided one by one, and slots of its table of those decided in arrays (a power of 2).
+CACHED_CHARACTERS, CACHED_PAIRS, PAIR_BITS = 8 << 20, 1 << 20, 20
+#: Characters of a text that are cut into segments at once, and of an array of distinct segments.
+PART = 1 << 20
+#: So few segments (the longest ones of a batch) are relaxed one by one.
+FEW = 16
+#: A zero character stands for itself, as it marks borders in arrays; no piece holds one.
+_SEGMENT = re.compile(f"[\n\0]|{MARK}+[^{MARK}\n\0]*|[^{MARK}\n\0]+")
 _RUN = re.compile(f"{MARK}{MARK}")
+_START = re.compile("\n|(?<! ) ")
 
 
 class Vocabulary:
@@ -75,11 +84,18 @@ class Vocabulary:
             self.codes[r, : len(p)] = list(map(ord, p))
         self.pair_keys = np.full(1 << PAIR_BITS, -1, dtype=np.int64)
         self.pair_apart = np.zeros(1 << PAIR_BITS, dtype=bool)
+        self.pairs: dict[tuple[int, int], bool] = {}
+        # Tables over all code points, made once: the rank of single characters, and room for a batch's alphabet.
+        self.single = np.full(0x110000 + 1, self.unknown, dtype=np.int64)
+        self.single[self.codes[: self.base, 0]] = np.arange(self.base)
+        self.seen = np.zeros(0x110000 + 1, dtype=bool)
+        self.dense = np.zeros(0x110000 + 1, dtype=np.uint64)
+        self.byte_table = np.array([self.byte_ids[k] for k in range(256)], dtype=np.int32)
 
     def _find_merges(self) -> None:
         """For every piece the two that it is merged from; pieces that merging never makes have none."""
         n = len(self.ids)
-        self.left, self.right = list(range(n)), list(range(n))
+        self.left, self.right = self.parts = list(range(n)), list(range(n))
         self.merge_of: dict[tuple[int, int], int] = {}
         self.made = np.zeros(n, dtype=bool)
         self.made[: self.base] = self.made[self.unknown] = True
@@ -94,7 +110,17 @@ class Vocabulary:
         self.merge_keys, self.merge_ranks = np.array(pairs, dtype=np.int64).reshape(-1, 2).T.copy()
         self.left, self.right = np.array(self.left), np.array(self.right)
 
+    def apart_pair(self, a: int, b: int) -> bool:
+        """What ``apart`` has, for one pair."""
+        out = self.pairs.get((a, b))
+        if out is None:
+            if len(self.pairs) >= CACHED_PAIRS:
+                self.pairs.clear()
+            out = self.pairs[a, b] = self.unknown in (a, b) or self._apart_one(a, b)
+        return out
+
     def _apart_one(self, a: int, b: int) -> bool:
+        left, right = self.parts
         over_a = over_b = len(self.ids)
         while True:
             merge = self.merge_of.get((a, b))
@@ -104,9 +130,9 @@ class Vocabulary:
                 return True
             # Undo the later merge: of equal ones the right one came later.
             if a > b:
-                over_a, a = a, self.right[a]
+                over_a, a = a, right[a]
             else:
-                over_b, b = b, self.left[b]
+                over_b, b = b, left[b]
 
     def _apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether no merge joins the neighbours a and b (or parts of them) at any time."""
@@ -143,13 +169,31 @@ class Vocabulary:
 
     def merged(self, segment: str) -> list[int]:
         """Ids by merging the best-scored neighbours, the leftmost first, until none is left."""
-        parts = list(segment)
-        while True:
-            best = max(((self.scores.get(a + b, -np.inf), -k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False))), default=(-np.inf, 0))
-            if best[0] == -np.inf:
-                return [k for p in parts for k in ([self.id_of[p]] if p in self.id_of else [self.byte_ids[x] for x in p.encode()])]
-            k = -best[1]
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        n, most = len(segment), int(self.lengths.max())
+        size, after, before = [1] * n, list(range(1, n + 1)), list(range(-1, n - 1))
+        heap: list[tuple[float, int, int]] = []
+
+        def offer(at: int) -> None:
+            if at >= 0 and after[at] < n and (both := size[at] + size[after[at]]) <= most:
+                score = self.scores.get(segment[at : at + both])
+                if score is not None:
+                    heapq.heappush(heap, (-score, at, both))
+
+        for at in range(n):
+            offer(at)
+        while heap:
+            _, at, both = heapq.heappop(heap)
+            gone = after[at]
+            # What was offered may have been merged otherwise since.
+            if not size[at] or gone >= n or size[at] + size[gone] != both:
+                continue
+            size[at], size[gone], after[at] = both, 0, after[gone]
+            if after[at] < n:
+                before[after[at]] = at
+            offer(before[at])
+            offer(at)
+        parts = (segment[at : at + k] for at, k in enumerate(size) if k)
+        return [k for p in parts for k in ([self.id_of[p]] if p in self.id_of else [self.byte_ids[x] for x in p.encode("utf-8", "surrogatepass")])]
 
 
 @cache
@@ -211,15 +255,15 @@ class SuffixArray:
 
 def edges(voc: Vocabulary, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(end * 32 + 32 - length, piece) of every occurrence in codes of a piece of several characters, sorted by position."""
-    seen = np.zeros(0x110000 + 1, dtype=bool)
+    seen, dense = voc.seen, voc.dense
     seen[codes] = True
     alphabet = np.flatnonzero(seen)
-    dense = np.zeros(0x110000 + 1, dtype=np.uint64)
     dense[alphabet] = np.arange(len(alphabet))
     depth = int(voc.lengths.max())
     array = SuffixArray(dense[codes], max(1, int(len(alphabet)).bit_length()), depth)
     keys, pieces = [], []
     possible = seen[voc.codes].all(axis=1)  # short pieces are filled up with zeros, as borders are
+    seen[alphabet] = False
     for length in range(2, depth + 1):
         ranks = np.flatnonzero((voc.lengths == length) & possible & voc.made[:-1])
         if len(ranks):
@@ -235,6 +279,32 @@ def edges(voc: Vocabulary, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[order], np.concatenate(pieces)[order]
 
 
+def _relax_one(voc: Vocabulary, codes: np.ndarray, begin: int, done: int, size: int, graph: tuple, state: tuple) -> None:
+    """Goes on with the one segment at begin from position ``done`` to its end."""
+    (first, length, piece), (last, back) = graph, state
+    for start in range(done, size, PART):
+        # Edges, and the states that they come from, are plain lists for a part of the segment at a time.
+        stop, low = min(size, start + PART), max(0, start - int(voc.lengths.max()))
+        bounds = first[begin + start + 1 : begin + stop + 2].tolist()
+        base = bounds[0]
+        lengths, pieces = length[base : bounds[-1]].tolist(), piece[base : bounds[-1]].tolist()
+        single = voc.single[codes[begin + start : begin + stop]].tolist()
+        states, came = last[begin + low : begin + stop + 1].tolist(), []
+        for at in range(start + 1, stop + 1):
+            k = at - start - 1
+            for e in range(bounds[k] - base, bounds[k + 1] - base):
+                before = states[at - lengths[e] - low]
+                if before < 0 or voc.apart_pair(before, pieces[e]):
+                    states[at - low] = pieces[e]
+                    came.append(begin + at - lengths[e])
+                    break
+            else:
+                states[at - low] = single[k]
+                came.append(begin + at - 1)
+        last[begin + start + 1 : begin + stop + 1] = states[start + 1 - low :]
+        back[begin + start + 1 : begin + stop + 1] = came
+
+
 def encode_segments(voc: Vocabulary, segments: list[str]) -> list[bytes]:
     """The ids of each segment, as little-endian 32-bit integers."""
     if not segments:
@@ -250,10 +320,8 @@ def encode_segments(voc: Vocabulary, segments: list[str]) -> list[bytes]:
     first = np.searchsorted(into, np.arange(len(codes) + 2))
     last = np.full(len(codes) + 1, -1, dtype=np.int64)
     back = np.zeros(len(codes) + 1, dtype=np.int64)
-    single = np.full(0x110000 + 1, voc.unknown, dtype=np.int64)
-    single[voc.codes[: voc.base, 0]] = np.arange(voc.base)
     live, offset = np.arange(len(segments)), 0
-    while len(live := live[size[live] > offset]):
+    while len(live := live[size[live] > offset]) > FEW:
         offset += 1
         at = begins[live] + offset
         edge, stop = first[at], first[at + 1]
@@ -275,58 +343,94 @@ def encode_segments(voc: Vocabulary, segments: list[str]) -> list[bytes]:
             at, edge, stop = at[keep], edge[keep], stop[keep]
         at = begins[live] + offset
         at = at[last[at] < 0]
-        last[at], back[at] = single[codes[at - 1]], at - 1
+        last[at], back[at] = voc.single[codes[at - 1]], at - 1
+    for k in live.tolist():
+        _relax_one(voc, codes, int(begins[k]), offset, int(size[k]), (first, length, piece), (last, back))
     token_end = np.zeros(len(codes) + 1, dtype=bool)
     at, floor = ends.copy(), begins
-    while len(at):
+    while len(at) > FEW:
         on = at > floor
         at, floor = at[on], floor[on]
         token_end[at] = True
         at = back[at]
+    for one, least in zip(at.tolist(), floor.tolist(), strict=True):
+        while one > least:
+            token_end[one] = True
+            one = int(back[one])
     places = np.flatnonzero(token_end)
     tokens = last[places]
     ids = voc.ids[tokens]
+    # Characters that are no piece become the ids of their UTF-8 bytes.
     unknown = np.flatnonzero(tokens == voc.unknown)
-    count = np.ones(len(places), dtype=np.int64)
     chars = codes[places[unknown] - 1]
-    spelled = {int(c): chr(c).encode("utf-8", "surrogatepass") for c in np.unique(chars)}
-    for c, raw in spelled.items():
-        count[unknown[chars == c]] = len(raw)
+    spelled = 1 + (chars >= 0x80) + (chars >= 0x800) + (chars >= 0x10000)
+    count = np.ones(len(places), dtype=np.int64)
+    count[unknown] = spelled
     out_at = np.cumsum(count) - count
     out = np.repeat(ids, count).astype("<i4")
-    for c, raw in spelled.items():
-        for k, value in enumerate(raw):
-            out[out_at[unknown[chars == c]] + k] = voc.byte_ids[value]
+    for k in range(4):
+        on = np.flatnonzero(spelled > k)
+        rest = chars[on] >> (6 * (spelled[on] - 1 - k)).astype(np.uint32)
+        value = rest & 63 | 0x80 if k else rest | np.array([0, 0xC0, 0xE0, 0xF0], dtype=np.uint32)[spelled[on] - 1]
+        out[out_at[unknown[on]] + k] = voc.byte_table[value]
     bound = np.r_[out_at, len(out)][np.searchsorted(places, np.r_[begins, ends[-1:]], side="right")] * 4
     raw = out.tobytes()
     return [raw[a:b] for a, b in zip(bound.tolist(), bound[1:].tolist(), strict=False)]
 
 
+def text_parts(text: str, size: int = PART) -> Iterator[str]:
+    """text in parts of about size characters that end where segments do: behind a line end, or before a run of spaces."""
+    start = 0
+    while len(text) - start > size:
+        near = text[start : start + size]
+        space = near.rfind(" ")
+        stop = start + max(near.rfind("\n") + 1, len(near[:space].rstrip(" ")) if space > 0 else 0)
+        if stop == start:
+            found = _START.search(text, start + size)
+            stop = found.start() if found else len(text)
+        yield text[start:stop]
+        start = stop
+    yield text[start:]
+
+
 class Encoder:
     """Encodes texts, remembering segments that it has met."""
 
     def __init__(self, model: str = MODEL):
         self.voc = vocabulary(model)
-        self.known: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, bytes] = {"\0": np.array([self.voc.byte_ids[0]], dtype="<i4").tobytes()}
+        self.held = 0
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [_SEGMENT.findall(f"{MARK}{t.replace(' ', MARK)}") if t else [] for t in texts]
-        if len(self.known) > CACHED_SEGMENTS:
-            self.known.clear()
-        new = list({s for segments in split for s in segments if s not in self.known})
-        # A zero character would be taken for a border, so such segments are cut there; no piece holds one.
-        plain = [s for s in new if not _RUN.search(s) and "\0" not in s]
+        """The ids of each text. Texts are taken together as far as they make up one part, and longer ones in several."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        taken: list[tuple[int, list[str]]] = []
+        room = PART
+        for k, text in enumerate(texts):
+            for n, part in enumerate(text_parts(text) if text else ()):
+                taken.append((k, _SEGMENT.findall(("" if n else MARK) + part.replace(" ", MARK))))
+                room -= len(part)
+                if room <= 0:
+                    self._encode_taken(taken, out)
+                    taken, room = [], PART
+        self._encode_taken(taken, out)
+        return [np.frombuffer(b"".join(ids), dtype="<i4") for ids in out]
+
+    def _encode_taken(self, taken: list[tuple[int, list[str]]], out: list[list[bytes]]) -> None:
+        if self.held > CACHED_CHARACTERS:
+            self._forget()
+        new = list({s for _, segments in taken for s in segments if s not in self.known})
+        self.held += sum(map(len, new))
+        plain = [s for s in new if not _RUN.search(s)]
         self.known.update(zip(plain, encode_segments(self.voc, plain), strict=True))
         for s in new:
             if s not in self.known:
-                self.known[s] = self._rest(s)
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, segments)), dtype="<i4") for segments in split]
-
-    def _rest(self, segment: str) -> bytes:
-        if "\0" in segment:
-            parts = re.findall("\0|[^\0]+", segment)
-            return b"".join(np.array([self.voc.byte_ids[0]], dtype="<i4").tobytes() if p == "\0" else self._rest(p) if _RUN.search(p) else encode_segments(self.voc, [p])[0] for p in parts)
-        return np.array(self.voc.merged(segment), dtype="<i4").tobytes()
+                self.known[s] = np.array(self.voc.merged(s), dtype="<i4").tobytes()
+        for k, segments in taken:
+            out[k].append(b"".join(map(self.known.__getitem__, segments)))
 
     def decode(self, ids: np.ndarray) -> str:
         raw = b"".join(map(self.voc.bytes_of.__getitem__, ids.tolist()))
