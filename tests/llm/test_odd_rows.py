@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidelog.llm import lines, media, pieces
+from tidelog.llm import lines, media, pieces, secrets
 from tidelog.llm.common import ship
 
 
@@ -144,3 +144,35 @@ def test_parts_of_a_text_end_where_segments_do():
             out = [[]]
             encoder._encode_taken(taken, out)
             assert np.frombuffer(b"".join(out[0]), dtype="<i4").tolist() == model.encode(text)
+
+
+SECRET_TEXTS = {
+    "many tokens begun": "eyJ-" * 250_000,
+    "parts of tokens": "eyJabcdefgh." * 80_000,
+    "logins begun": "://a" * 250_000,
+    "logins with colons": "://" + "a:" * 400_000,
+    "keys begun": "-----BEGIN PRIVATE KEY-----" * 40_000,
+    "keys with headers": "-----BEGIN PRIVATE KEY-----\n" + "Proc-Type:" * 100_000,
+    "keywords": "token" * 200_000,
+    "keywords with spaces": ("token" + " " * 1000) * 1000,
+    "access": "AKIA" * 250_000,
+}
+
+
+@pytest.mark.parametrize("name", SECRET_TEXTS)
+def test_secrets_of_odd_texts(name):
+    timed(lambda: secrets.find(SECRET_TEXTS[name]), 10)
+
+
+def test_many_secrets_are_masked(spark):
+    text = " ".join(f"token=abcdefgh{k:06} é" for k in range(50_000))
+    docs = ship(spark).createDataFrame([(1, text, 5), (2, "clean", 6), (3, None, 7)], "doc_id long, text string, n_chars long")
+    told = timed(lambda: {r["doc_id"]: r for r in secrets.redacted(docs).collect()}, 60)
+    assert told[1]["text"] == " ".join(["[assign] é"] * 50_000) and told[1]["n_chars"] == len(told[1]["text"])
+    assert (told[2]["text"], told[2]["n_chars"], told[3]["text"], told[3]["n_chars"]) == ("clean", 6, None, 7)
+
+
+def test_tokens_are_found_whole():
+    token = f"eyJ{'a' * 9}.{'b' * 9}.{'c' * 9}"
+    for text, at in ((token, 0), (f"x {token}", 2), (f"({token}).", 1), (f"x{token}", None), (f"a.{token}", 2), (f"x-{token}", 2)):
+        assert [s for s in secrets.find(text) if secrets.KINDS[s[1]] == "jwt"] == ([] if at is None else [(at, secrets.KINDS.index("jwt"), at + len(token))])

@@ -274,3 +274,12 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     rebuilt = fetched.select("media", own, "fetched").mapInArrow(_rebuilt, REBUILT)
     rows = lists.select("doc_id", "media", "n_bytes", F.size("digests").alias("n_chunks"))
     return rows.join(rebuilt, "media").select(*COLUMNS)
+
+
+def bytes_sql() -> str:
+    """The lengths and the payload's hash of ``media_columns`` in DuckDB SQL."""
+    return f"""
+WITH raw AS (SELECT doc_id, encode(coalesce(text, '')) AS raw FROM documents),
+sizes AS (SELECT doc_id, raw, octet_length(raw)::BIGINT AS n FROM raw),
+padded AS (SELECT *, CASE WHEN n = 0 THEN {PAD} ELSE (n + {PAD - 1}) // {PAD} * {PAD} END AS size FROM sizes)
+SELECT doc_id, n AS n_bytes, size AS payload_bytes, sha256(raw || unhex(repeat('00', (size - n)::INT))) AS payload_sha256, size + {_WAV.size} AS media_bytes FROM padded"""

@@ -9,8 +9,9 @@ labelled rows.
 
 Edge cases: a null, empty or blank text has no words and fails the base rules.
 Repeated rows are judged one by one; a null doc_id takes part but has no label.
-Without labels only the base rules decide.  Extra columns are ignored.  An empty
-table gives an empty result.
+Without labels only the base rules decide.  Very long texts are measured whole, one
+at a time.  Extra columns, whatever their names, are ignored.  An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -175,3 +176,22 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     bins = _scored(labelled.filter(~F.col("base_failed")), forest).groupBy(F.floor(F.col("score") * BINS).cast("int").alias("bin")).agg(F.sum((F.col("quality") == 1).cast("int")).alias("good"), F.sum((F.col("quality") != 1).cast("int")).alias("bad"))
     most = threshold([(r["bin"], r["good"], r["bad"]) for r in bins.collect()])
     return _scored(rows, forest).select(*columns, (~F.col("base_failed") & (F.col("score") < most)).alias("kept"), "score")
+
+
+def statistics_sql() -> str:
+    """doc_id, the base statistics and base_failed in DuckDB SQL, where doc_id is unique."""
+    blank = "[^\\x20\\x09-\\x0D]"
+    grams = " || ' ' || ".join(f"lead(word, {k}) OVER doc" if k else "word" for k in range(WINDOW))
+    return f"""
+WITH split AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{blank}+') AS words FROM documents),
+words AS (SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS pos FROM split),
+grams AS (SELECT doc_id, pos, {grams} AS gram FROM words WINDOW doc AS (PARTITION BY doc_id ORDER BY pos)),
+told AS (SELECT doc_id, pos, gram IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, gram) > 1 AS twice FROM grams),
+hit AS (SELECT doc_id, max(twice) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) AS hit FROM told),
+repeats AS (SELECT doc_id, count(*) FILTER (hit) AS n FROM hit GROUP BY doc_id),
+filled AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{blank}')) AS filled FROM split),
+counts AS (
+  SELECT s.doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda w: length(w))), 0)::BIGINT AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(filled) - len(list_distinct(filled)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words
+  FROM split s JOIN filled f ON s.doc_id = f.doc_id LEFT JOIN repeats r ON s.doc_id = r.doc_id)
+SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED_PERCENT} * n_words AS base_failed FROM counts"""

@@ -7,8 +7,11 @@ and old versions are thus scanned once, and a new rule version rescans everythin
 
 Edge cases: a null text is an empty one.  A path may be null and rows may repeat;
 each row gets its blob's findings.  Spans are in code points, end exclusive.
-Extra columns are ignored by ``scan_documents`` and kept by ``redacted``.  An empty
-table gives an empty result.
+Of spans that overlap, redaction masks their union under the first one's kind.
+Very long texts are scanned whole, one at a time, by patterns that read each
+character a bounded number of times; redaction cuts a text once for all its spans.
+Extra columns, whatever their names, are ignored by ``scan_documents`` and kept by
+``redacted``.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,11 +23,12 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelog.llm.common import cut_lineage, sliced, texts_of
 
 #: Changes whenever a rule below does.
-RULE_VERSION = "2"
+RULE_VERSION = "3"
 # The base rules (kind, pattern, group that counts, least length).
 BASE_RULES = (
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?((?-i:[A-Za-z0-9+/_.=-]+))""", re.IGNORECASE | re.ASCII), 2, 8),
@@ -34,13 +38,16 @@ BASE_RULES = (
 # A key runs to its END line, whatever stands between but another BEGIN or END; one without an END line, as far as headers, base64 and line ends (escaped ones too) go.
 _TO_END = r"[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+-----END (?:[A-Z]+ )*PRIVATE KEY-----"
 _NO_END = r"(?:(?:\s|\\+[nr])*+(?:Proc-Type|DEK-Info):[^\r\n\\]*+)*+(?:[A-Za-z0-9+/=\s]|\\+[nr/\s])*+"
-#: Rules beyond these: (kind, a string that a match holds, pattern).
+#: Rules beyond these: (kind, a string that a match holds, pattern, whose group is the span if it has one).
 MORE_RULES = (
     ("pem", "PRIVATE KEY-----", re.compile(rf"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?:{_TO_END}|{_NO_END})")),
-    ("jwt", "eyJ", re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
+    # A token starts at the first place for it in a run of its characters, so that each run is read once.
+    ("jwt", "eyJ", re.compile(r"(?<![A-Za-z0-9_-])(?>[A-Za-z0-9_-]*?\b(?=eyJ))([A-Za-z0-9_-]{11,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)")),
     ("login", "://", re.compile(r"(?<=://)[^\s/?#:@]*+:[^\s/?#@]{4,}+(?=@)")),
 )
 KINDS = [*(r[0] for r in BASE_RULES), *(r[0] for r in MORE_RULES)]
+#: Addresses (of 32 bytes) that may be broadcast.
+BROADCAST_BLOBS = 500_000
 _KEYWORDS = ("pass", "secret", "token", "api")
 LEDGER_SCHEMA = "blob binary, rule_version string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, masks string"
 
@@ -55,7 +62,7 @@ def find(text: str) -> list[tuple[int, int, int]]:
         found += [(m.start(), number, m.end()) for m in pattern.finditer(text) if m.end(group) - m.start(group) >= least]
     for number, (_, part, pattern) in enumerate(MORE_RULES, len(BASE_RULES)):
         if part in text:
-            found += [(m.start(), number, m.end()) for m in pattern.finditer(text)]
+            found += [(start, number, end) for start, end in (m.span(pattern.groups) for m in pattern.finditer(text))]
     return sorted(found)
 
 
@@ -93,11 +100,15 @@ def _scanned(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def scan(versions: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
-    """Ledger rows for the blobs of versions (column text) that ledger lacks under this rule version, each scanned once."""
+    """Ledger rows for the blobs of versions (column text) that ledger lacks under this rule version, each scanned once.
+
+    Addresses meet the ledger first.  If those that it lacks are few, they are broadcast, so that no text which was scanned before is shuffled.
+    """
     blobs = versions.select(blob_of().alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
     if ledger is not None:
         known = ledger.filter(F.col("rule_version") == RULE_VERSION).select("blob").distinct()
-        blobs = blobs.join(known, "blob", "left_anti")
+        new = cut_lineage(blobs.select("blob").distinct().join(known, "blob", "left_anti"))
+        blobs = blobs.join(F.broadcast(new) if new.count() <= BROADCAST_BLOBS else new, "blob", "left_semi")
     unseen = blobs.groupBy("blob").agg(F.first("text").alias("text"))
     return unseen.mapInArrow(_scanned, LEDGER_SCHEMA)
 
@@ -126,15 +137,23 @@ def scan_documents(docs: DataFrame, ledger_path: str | None = None) -> DataFrame
     return findings(docs, ledger, "doc_id")
 
 
-def masked(text: Column, masks: Column) -> Column:
-    """text with each of masks (kind:start:end, comma-joined, in order) replaced by its kind in brackets."""
+def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
+    """text with each of spans (apart from each other, in order) replaced by its kind in brackets."""
+    parts, at = [], 0
+    for start, kind, end in spans:
+        parts += [text[at:start], f"[{KINDS[kind]}]"]
+        at = end
+    return "".join([*parts, text[at:]])
+
+
+def _parsed(masks: str) -> list[tuple[int, int, int]]:
+    return [(int(start), KINDS.index(kind), int(end)) for kind, start, end in (m.split(":") for m in masks.split(","))]
 
-    def replaced(done: Column, mask: Column) -> Column:
-        kind, start, end = (F.element_at(F.split(mask, ":"), k) for k in (1, 2, 3))
-        return F.concat(F.substring(done, F.lit(1), start.cast("int")), F.lit("["), kind, F.lit("]"), F.substring(done, end.cast("int") + 1, F.length(done)))
 
-    # From the last to the first, as each one moves what follows it.
-    return F.aggregate(F.reverse(F.split(masks, ",")), text, replaced)
+@F.arrow_udf(T.StringType())
+def _masked(texts: pa.Array, masks: pa.Array) -> pa.Array:
+    """texts with their masks (kind:start:end, comma-joined, in order) replaced; null where there is none."""
+    return pa.array((masked(t.as_py() or "", _parsed(m.as_py())) if m.is_valid else None for t, m in zip(texts, masks, strict=True)), pa.string())
 
 
 def redacted(docs: DataFrame, ledger_path: str | None = None) -> DataFrame:
@@ -143,8 +162,47 @@ def redacted(docs: DataFrame, ledger_path: str | None = None) -> DataFrame:
     hits = ledger.filter("masks <> ''").select(F.col("blob").alias("_blob"), F.col("masks").alias("_masks"))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), blob_of().alias("_key")).join(hits, F.col("_key") == F.col("_blob"), "left")
     hit, old = F.col("_masks").isNotNull(), F.col("_row.text")
-    rows = rows.withColumn("_text", F.when(hit, masked(old, F.col("_masks"))).otherwise(old))
+    # Only texts with a secret go through Python.
+    rows = rows.withColumn("_text", F.coalesce(_masked(F.when(hit, old), F.col("_masks")), old))
     new = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(hit, F.length("_text")).otherwise(F.col("_row.n_chars")).cast(docs.schema["n_chars"].dataType)
     return rows.select(*[new.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns])
+
+
+def edited() -> Column:
+    """Column text as an editor would leave it who takes out the first line of each text that has several."""
+    return F.when(F.instr("text", "\n") > 0, F.expr("substring(text, instr(text, '\n') + 1)")).otherwise(F.col("text"))
+
+
+def scan_versions(docs: DataFrame, path: str) -> DataFrame:
+    """version, texts and scanned for two versions of docs, the second one edited, scanned in turn into a ledger at path.
+
+    scanned counts the (blob, rule version) pairs that the ledger lacked, as the ledger's growth tells.
+    """
+    spark, before, told = docs.sparkSession, 0, []
+    for version, rows in enumerate((docs.select("text"), docs.select(edited().alias("text"))), 1):
+        update(rows, path)
+        held = spark.read.schema(LEDGER_SCHEMA).parquet(path).count()
+        told.append((version, rows.count(), held - before))
+        before = held
+    return spark.createDataFrame(told, "version int, texts long, scanned long")
+
+
+def scan_versions_sql() -> str:
+    """The same in DuckDB SQL."""
+    return """
+WITH versions AS (
+  SELECT 1 AS version, sha256(coalesce(text, '')) AS blob FROM documents
+  UNION ALL SELECT 2, sha256(coalesce(CASE WHEN strpos(text, chr(10)) > 0 THEN substr(text, strpos(text, chr(10)) + 1) ELSE text END, '')) FROM documents),
+firsts AS (SELECT blob, min(version) AS version FROM versions GROUP BY blob)
+SELECT v.version::INT AS version, v.texts, coalesce(f.scanned, 0)::BIGINT AS scanned FROM (SELECT version, count(*) AS texts FROM versions GROUP BY version) v
+LEFT JOIN (SELECT version, count(*) AS scanned FROM firsts GROUP BY version) f ON v.version = f.version"""
+
+
+def base_counts_sql() -> str:
+    """doc_id, n_assign, n_access and n_hex in DuckDB SQL; letters of keywords are spelt in both cases, as the pattern's other parts have one."""
+    words = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c + ("?" if c == "_" else "") for c in w) for w in ("password", "passwd", "secret", "token", "api_key"))
+    assign = f"({words})[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"
+    number = lambda pattern, group, least: f"len(list_filter(regexp_extract_all(coalesce(text, ''), '{pattern}', {group}), lambda m: length(m) >= {least}))::BIGINT"
+    return f"SELECT doc_id, {number(assign, 2, 8)} AS n_assign, {number('AKIA[A-Z0-9]+', 0, 16)} AS n_access, {number('[0-9a-f]+', 0, 32)} AS n_hex FROM documents"
