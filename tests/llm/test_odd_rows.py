@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidelog.llm import lines, media, pieces, secrets
+from tidelog.llm import language, lines, media, pieces, secrets
 from tidelog.llm.common import ship
 
 
@@ -176,3 +176,44 @@ def test_tokens_are_found_whole():
     token = f"eyJ{'a' * 9}.{'b' * 9}.{'c' * 9}"
     for text, at in ((token, 0), (f"x {token}", 2), (f"({token}).", 1), (f"x{token}", None), (f"a.{token}", 2), (f"x-{token}", 2)):
         assert [s for s in secrets.find(text) if secrets.KINDS[s[1]] == "jwt"] == ([] if at is None else [(at, secrets.KINDS.index("jwt"), at + len(token))])
+
+
+SYLLABLES = {"aa": "ka mo ti lu re sa no pi da ven sol mar", "bb": "sch ung ber ge wei ter ach hof stein bau mit zwi", "cc": "ique eau oir eur ait ment sion aux ble tre pour dans", "dd": "ggy wop zuk vlo hyb xan qor fjl tykk jolm pwe uzz"}
+
+
+def invented(lang, n, rng):
+    """Texts of one to sixty words, each of some syllables of the language."""
+    parts = SYLLABLES[lang].split()
+    return [" ".join("".join(rng.choice(parts) for _ in range(rng.randrange(1, 4))) for _ in range(rng.randrange(5, 60))) for _ in range(n)]
+
+
+def test_languages_that_were_not_learned_and_noise_are_rejected(spark):
+    rng = random.Random(8)
+    rows = [(lang, t) for lang in ("aa", "bb", "cc") for t in invented(lang, 400, rng)]
+    docs = ship(spark).createDataFrame([(k, t, lang) for k, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    told = language.predict(docs, model).join(docs, "doc_id").filter("held_out").collect()
+    wrong = [r for r in told if r["lang_pred"] != r["lang"]]
+    assert len(wrong) <= 0.02 * len(told) and sum(r["rejected"] for r in told if r["lang_pred"] == r["lang"]) <= 0.005 * len(told)
+    noise = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9))) for _ in range(30)) for _ in range(200)]
+    for strange in (invented("dd", 200, rng), noise, [t.swapcase()[::-1].replace("a", "\u0434") for t in invented("aa", 200, rng)]):
+        assert model.judge(strange)[2].mean() >= 0.95
+    few = language.fit(docs, languages=2)
+    assert few.languages == ["aa", "bb"] or len(few.languages) == 2
+
+
+def test_language_scores_are_the_same_in_pieces(monkeypatch):
+    rng = random.Random(9)
+    snippets = [language.normal_bytes(t) for lang in ("aa", "bb") for t in invented(lang, 60, rng)]
+    model = language.train(snippets, ["aa"] * 60 + ["bb"] * 60, [k % 5 == 0 for k in range(120)])
+    whole = model.read(snippets)
+    for piece in (1, 7, 100, 5000):
+        monkeypatch.setattr(language, "PIECE", piece)
+        assert all((a == b).all() for a, b in zip(model.read(snippets), whole, strict=True))
+    monkeypatch.undo()
+    long = " ".join(invented("aa", 100_000, rng))
+    tracemalloc.start()
+    assert timed(lambda: model.judge([long]), 60)[0] == ["aa"]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6 * len(long) + 100_000_000

@@ -4,8 +4,10 @@ A text is lower-cased and cut into words of letters; every 2-, 3- and 4-byte
 window of a word (one border at each side counted) is hashed to a bucket.  The mean
 of the buckets' embeddings goes through a linear softmax.  Both are trained by
 stochastic gradient descent in numpy on a bounded sample; a part of that sample
-sets the temperature of the scores and the score under which a text is rejected,
-as the answers below it are wrong as often as right, or no language has a majority.
+sets the temperature of the scores and when a text is rejected: below a score as the
+answers there are wrong as often as right, or no language has a majority; and if far
+fewer of its windows were met in training than of any text in that part, as in noise or
+in a language that was not learned.
 
 Since everything before the softmax is linear, prediction adds up one row of
 class scores per window, in integers, so that equal texts get equal results.
@@ -13,7 +15,9 @@ class scores per window, in integers, so that equal texts get equal results.
 Edge cases: a null text, or one without a letter, is ``und`` with score 0 and is
 rejected.  Without any labelled text to learn from, all are ``und``.  A row whose
 doc_id is null is never learned from and counts as held out.  Extra columns are
-ignored by ``predict`` and kept by ``identified``.  Repeated rows are judged one by one.
+ignored by ``predict`` and kept by ``identified``, whatever their names.  Repeated rows are
+judged one by one.  Very long texts are judged whole; class scores are held for a piece of
+them at a time.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,6 +39,8 @@ BUCKET_BITS = 15
 DIMENSIONS = 16
 #: Bound of the training sample: documents of a language, and the sizes in bytes of the snippets taken from each.
 SAMPLE_PER_LANGUAGE = 1000
+#: Languages that are learned: the most frequent ones, of equally frequent ones the first by name.
+LANGUAGES = 1000
 SNIPPETS = (24, 90, 400)
 #: Examples drawn in training, those of each language equally often.
 DRAWN, BATCH, RATE = 48_000, 128, 0.5
@@ -42,8 +48,10 @@ DRAWN, BATCH, RATE = 48_000, 128, 0.5
 CALIBRATE_EVERY = 5
 #: The least score at which a text can be kept: below it no language has a majority.
 MAJORITY = 0.5
-#: Class scores are added up as integers of this scale.
-SCALE = 1 << 12
+#: Class scores are added up as integers of this scale, for so many bytes of text at a time.
+SCALE, PIECE = 1 << 12, 1 << 18
+#: A text of fewer windows is judged by its score alone. How much less familiar than any text of calibration one may be.
+FEW_WINDOWS, SLACK = 20, 3
 _SPACE = 32
 _LETTERS = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else _SPACE for b in range(256))
 
@@ -83,28 +91,45 @@ class Model:
     bias: np.ndarray
     temperature: float = 1.0
     threshold: float = MAJORITY
+    #: Which buckets training has met (never the last), and the least share of a text's windows that must be in such.
+    known: np.ndarray | None = None
+    familiar: float = 0.0
 
     def logits(self, texts: list[bytes]) -> np.ndarray:
         """One row of class scores for each of the normal byte strings."""
+        return self.read(texts)[0]
+
+    def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(class scores, windows, windows in buckets that training has met) of each of the normal byte strings."""
+        known = np.zeros(len(self.table), dtype=bool) if self.known is None else self.known
         data = np.frombuffer(b"".join(texts), dtype=np.uint8)
         starts = np.cumsum([0, *map(len, texts)])[:-1]
-        total = np.zeros((len(data), len(self.languages)), dtype=np.int32)
-        number = np.zeros(len(data), dtype=np.int32)
-        for index in buckets(data):
-            total[: len(index)] += self.table[index]
-            number[: len(index)] += index < 1 << BUCKET_BITS
-        # Texts start and end with a space, so a window over the border of two has a space inside.
-        sums = np.add.reduceat(total, starts, axis=0, dtype=np.int64)
-        counts = np.add.reduceat(number, starts, dtype=np.int64)
-        return sums / (SCALE * np.maximum(counts, 1))[:, None] + self.bias
-
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        """The likeliest language of each text and its probability."""
+        sums, counts = np.zeros((len(texts), len(self.languages)), dtype=np.int64), np.zeros((len(texts), 2), dtype=np.int64)
+        # Sums are of integers, so that they may be made of a piece of the bytes at a time, wherever texts begin.
+        for at in range(0, len(data), PIECE):
+            n = min(PIECE, len(data) - at)
+            total, number = np.zeros((n, len(self.languages)), dtype=np.int32), np.zeros((n, 2), dtype=np.int32)
+            for index in buckets(data[at : at + n + max(SIZES) - 1]):
+                index = index[:n]
+                total[: len(index)] += self.table[index]
+                number[: len(index), 0] += index < 1 << BUCKET_BITS
+                number[: len(index), 1] += known[index]
+            first, end = np.searchsorted(starts, at, side="right") - 1, np.searchsorted(starts, at + n)
+            bounds = np.maximum(starts[first:end] - at, 0)
+            # Texts start and end with a space, so a window over the border of two has a space inside.
+            sums[first:end] += np.add.reduceat(total, bounds, axis=0, dtype=np.int64)
+            counts[first:end] += np.add.reduceat(number, bounds, axis=0, dtype=np.int64)
+        return sums / (SCALE * np.maximum(counts[:, :1], 1)) + self.bias, counts[:, 0], counts[:, 1]
+
+    def judge(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The likeliest language of each text, its probability, and whether the text is rejected."""
         if not texts or not self.languages:
-            return [UND] * len(texts), np.zeros(len(texts))
-        p = softmax(self.logits([normal_bytes(t) for t in texts]) / self.temperature)
+            return [UND] * len(texts), np.zeros(len(texts)), np.ones(len(texts), dtype=bool)
+        logits, windows, met = self.read([normal_bytes(t) for t in texts])
+        p = softmax(logits / self.temperature)
         best = p.argmax(axis=1)
-        return [self.languages[k] for k in best], p[np.arange(len(p)), best]
+        score = p[np.arange(len(p)), best]
+        return [self.languages[k] for k in best], score, (score < self.threshold) | (windows >= FEW_WINDOWS) & (met < self.familiar * windows)
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -157,6 +182,12 @@ def train(snippets: list[bytes], langs: list[str], calibrate: list[bool], seed:
         run = np.flatnonzero(2 * wrong >= np.arange(1, len(order) + 1))
         if len(run) and run[-1] + 1 < len(order):
             model.threshold = max(MAJORITY, float(p.max(axis=1)[order[run[-1] + 1]]))
+        # The share of windows that training has met, in the least familiar text of calibration, with SLACK times its distance from all.
+        model.known = np.zeros(len(table), dtype=bool)
+        for k in used:
+            model.known[features[k]] = True
+        shares = [float(model.known[features[k]].mean()) for k in held if len(features[k]) >= FEW_WINDOWS]
+        model.familiar = max(0.0, 1 - (1 + SLACK) * (1 - min(shares))) if shares else 0.0
     return model
 
 
@@ -177,10 +208,10 @@ def _snippets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=["snippet", "lang", "calibrate", "key"])
 
 
-def fit(docs: DataFrame, limit: int = SAMPLE_PER_LANGUAGE) -> Model:
-    """Trains on at most ``limit`` documents of each language; their snippets alone reach the driver."""
+def fit(docs: DataFrame, limit: int = SAMPLE_PER_LANGUAGE, languages: int = LANGUAGES) -> Model:
+    """Trains on at most ``limit`` documents of each of the ``languages`` most frequent languages; their snippets alone reach the driver."""
     labelled = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("doc_id").alias("key"))
-    numbers = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    numbers = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
     if not numbers:
         return Model([], np.zeros((1, 0), dtype=np.int32), np.zeros(0))
     # A share of each language that holds about twice the limit, so that no task ranks more.
@@ -201,11 +232,11 @@ def _predicted(model: Model, docs: DataFrame, keep: list[str]) -> DataFrame:
     def judged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         for batch in sliced(batches, "_text", 2 << 20):
-            langs, scores = model.predict(texts_of(batch, "_text"))
+            langs, scores, rejected = model.judge(texts_of(batch, "_text"))
             lettered = batch.column("_lettered").to_numpy(zero_copy_only=False)
             langs = [x if ok else UND for x, ok in zip(langs, lettered, strict=True)]
             scores = np.where(lettered, scores, 0.0)
-            rejected = (np.array(langs, dtype=object) == UND) | (scores < model.threshold)
+            rejected = ~lettered | rejected
             columns = [batch.column(c) for c in keep] + [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected.astype(bool), pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, *added])
 
