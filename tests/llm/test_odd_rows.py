@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidelog.llm import language, lines, media, pieces, secrets
+from tidelog.llm import language, lines, media, packing, pieces, secrets, simhash
 from tidelog.llm.common import ship
 
 
@@ -217,3 +217,50 @@ def test_language_scores_are_the_same_in_pieces(monkeypatch):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 6 * len(long) + 100_000_000
+
+
+def test_fingerprints_are_the_same_in_pieces():
+    rng = random.Random(10)
+    for _ in range(200):
+        text = "".join(rng.choice(["a", "B", "cd", " ", "\n", "\t ", "é"]) for _ in range(rng.randrange(80)))
+        whole = int(simhash.simhashes([text])[0])
+        assert all(simhash.long_simhash(text, piece=piece) == whole for piece in (1, 2, 5, 30))
+    assert simhash.simhashes(["x" * 3_000_000, " " * 3_000_000, "x" * 2_000_000 + " y"]).tolist() == [int(h[0]) if len(h := simhash.shingle_hashes(t)) else 0 for t in ("x" * 3_000_000, "", "x" * 2_000_000 + " y")]
+
+
+def test_fingerprint_of_a_long_text():
+    rng = random.Random(11)
+    text = " ".join(str(rng.randrange(1000)) for _ in range(5_000_000))
+    tracemalloc.start()
+    timed(lambda: simhash.simhashes([text]), 120)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * len(text) + 200_000_000
+
+
+def test_shards_are_worth_a_tree():
+    for n in (1_000, 50_000, 10**6, 10**9):
+        width = simhash.shard_masks(n)[0].bit_count()
+        assert n / 2**width <= 2 * simhash.SHARD * 2 and (n <= simhash.SHARD or n / 2**width >= simhash.SHARD / 2)
+
+
+def test_trees_follow_few_edges():
+    fp = np.unique(np.random.default_rng(12).integers(0, 1 << 63, 3000, dtype=np.uint64))
+    forest = simhash.BKForest(fp, np.zeros(len(fp), dtype=np.int64))
+    seen, query, node = 0, np.arange(len(fp)), forest.root
+    while len(query):
+        seen += len(query)
+        d = np.bitwise_count(fp[query] ^ fp[node]).astype(np.int64)
+        lo, hi = np.searchsorted(forest.keys, node * 65 + np.maximum(d - 2, 0)), np.searchsorted(forest.keys, node * 65 + np.minimum(d + 2, 64), side="right")
+        n = hi - lo
+        child = np.arange(n.sum()) + np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n)
+        query, node = np.repeat(query, n), forest.kids[child]
+    assert seen < 0.4 * len(fp) ** 2
+
+
+def test_ids_of_texts_that_go_to_the_other_encoder():
+    rng = random.Random(13)
+    text = " ".join(rng.choice(["the", "Zürich", "日本", "x1", "  ", "\n"]) for _ in range(400_000))
+    assert len(text) > packing.LONG_TEXT
+    fast, exact = packing._encoders(packing.TOKENIZER)
+    assert packing.token_ids(text) == exact.encode(text, add_special_tokens=False).ids == fast.encode_ordinary(text)

@@ -4,29 +4,30 @@ A fingerprint has bit i set if more than half of the text's word shingles have i
 set in their 64-bit hash.  Fingerprints within ``RADIUS`` differing bits are linked,
 and linked ones form classes.
 
-Distinct fingerprints are dealt into shards: the 64 bits are cut into blocks, and
-two fingerprints within the radius agree on all blocks but ``RADIUS`` of them at
-most, so they meet in the shard of some choice of blocks.  Each shard gets a
-BK-tree, in which a child hangs below its parent by their Hamming distance; every
-member follows only the edges whose distance is within the radius of its own.  A
-shard yields one link per member at most (to the smallest member that it reaches),
-never its pairs.  Classes come from joining these links by minimum propagation.
-
-Trees of a whole corpus can't be broadcast within a proven bound, so a shard's
-tree is built where the shard's rows are dealt; the number of blocks follows the
-number of distinct fingerprints, which keeps the shards small.
+Distinct fingerprints are dealt into shards: of ``RADIUS`` + 1 groups of bits, two
+fingerprints within the radius agree on one at least, so they meet in a shard of that
+group's value.  A group has as many bits as leave about ``SHARD`` fingerprints to a shard.
+Each shard gets a BK-tree, in which a child hangs below its parent by their Hamming
+distance; every member follows only the edges whose distance is within the radius of
+its own.  A shard yields one link per member at most (to the smallest member that it
+reaches), never its pairs.  Classes come from joining these links by minimum propagation.
+
+A broadcast would bring the trees, and with them the fingerprints of all documents, to the
+driver first, so each shard's tree is built in the task to which its rows are dealt.  A
+shard of more than ``BLOCK`` fingerprints is cut into blocks, each pair of which has a tree.
 
 Edge cases: a text without words (null, empty, white space) has fingerprint zero,
 which is linked like any other.  Equal fingerprints are one node, so copies cost
 nothing more.  A null doc_id takes part; the class id is the smallest id that is
-not null, or null if there is none.  Extra columns are ignored by
-``near_duplicates`` and kept by ``one_per_class``.
+not null, or null if there is none.  Very long texts are fingerprinted whole; bits are
+added up for a piece of them at a time.  Extra columns, whatever their names, are ignored
+by ``near_duplicates`` and kept by ``one_per_class``.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import functools
 import math
+import re
 from collections.abc import Iterable, Iterator
 from itertools import combinations, repeat
 
@@ -39,39 +40,71 @@ from pyspark.sql import functions as F
 from tidelog.llm.common import cut_lineage, sliced, texts_of
 
 SEED, SHINGLE, RADIUS = 42, 3, 2
-#: Fingerprints that a shard holds on average at most, if bits were even.
-SHARD = 8
+#: Fingerprints that a shard holds on average, if bits were even (fewer than twice as many).
+SHARD = 1000
 #: Distinct fingerprints of one shard that a task takes at most; larger shards are searched in pairs of blocks.
 BLOCK = 20_000
 #: Pairs of a query and a tree's node that are looked at together.
-FRONTIER = 2_000_000
+FRONTIER = 4_000_000
+#: Bytes of a long text whose shingles are held at once.
+PIECE = 1 << 20
+_SPACE = re.compile(rb"[\x20\x09-\x0d]")
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+def _words(data: bytes) -> list[bytes]:
+    return data.translate(_LOWER).split()  # bytes split at ASCII white space alone
+
+
+def _hashes(words: list[bytes], size: int) -> np.ndarray:
+    grams = map(b" ".join, zip(*(words[k:] for k in range(size)), strict=False))
+    return np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), dtype=np.uint64)
+
+
 def shingle_hashes(text: str, size: int = SHINGLE) -> np.ndarray:
     """XXH64 of every shingle of ``size`` words (of the whole sequence if there are fewer), repeats included."""
-    words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()  # bytes split at ASCII white space alone
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    if len(words) < size:
-        grams = [b" ".join(words)]
-    else:
-        grams = map(b" ".join, zip(*(words[k:] for k in range(size)), strict=False))
-    return np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), dtype=np.uint64)
+    words = _words(text.encode("utf-8", "surrogatepass"))
+    return _hashes(words, min(size, len(words))) if words else np.zeros(0, dtype=np.uint64)
+
+
+def _unpacked(hashes: np.ndarray) -> np.ndarray:
+    """The 64 bits of each hash, lowest first."""
+    return np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+
+
+def long_simhash(text: str, size: int = SHINGLE, piece: int = PIECE) -> int:
+    """The fingerprint of one text, whose bits are added up for a piece of it at a time."""
+    data = text.encode("utf-8", "surrogatepass")
+    ones, n, last, at = np.zeros(64, dtype=np.int64), 0, [], 0
+    while at < len(data):
+        space = _SPACE.search(data, min(at + piece, len(data)))
+        stop = space.start() if space else len(data)
+        words = last + _words(data[at:stop])
+        at = stop
+        if len(words) >= size:
+            hashes = _hashes(words, size)
+            ones += _unpacked(hashes).sum(axis=0, dtype=np.int64)
+            n += len(hashes)
+        last = words[1 - size :]
+    if not n:
+        return int(shingle_hashes(text, size)[0]) if last else 0
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
 def simhashes(texts: list[str]) -> np.ndarray:
     """The fingerprint of each text."""
-    hashes = [shingle_hashes(t) for t in texts]
+    long = {k: long_simhash(t) for k, t in enumerate(texts) if len(t) > PIECE}
+    hashes = [shingle_hashes("" if k in long else t) for k, t in enumerate(texts)]
     sizes = np.array([len(h) for h in hashes])
     out = np.zeros(len(texts), dtype=np.uint64)
     some = np.flatnonzero(sizes)
     if len(some):
-        flat = np.concatenate([hashes[k] for k in some])
-        bits = np.unpackbits(flat.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        bits = _unpacked(np.concatenate([hashes[k] for k in some]))
         ones = np.add.reduceat(bits, np.cumsum([0, *sizes[some]])[:-1], axis=0, dtype=np.int32)
         packed = np.packbits(2 * ones > sizes[some][:, None], axis=1, bitorder="little")
         out[some] = np.ascontiguousarray(packed).view("<u8").ravel()
+    for k, print_ in long.items():
+        out[k] = print_
     return out
 
 
@@ -88,13 +121,16 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def shard_masks(n: int, radius: int = RADIUS) -> list[int]:
-    """Bit masks, one per choice of blocks that must agree, so that a shard of n even fingerprints holds SHARD at most."""
-    blocks = radius + 1
-    while blocks < 16 and 64 * (blocks - radius) / blocks < math.log2(max(n, 2) / SHARD):
-        blocks += 1
-    edges = [round(64 * k / blocks) for k in range(blocks + 1)]
-    parts = [(1 << hi) - (1 << lo) for lo, hi in zip(edges, edges[1:], strict=False)]
-    return [sum(chosen) for chosen in combinations(parts, blocks - radius)]
+    """Bit masks, one per choice of groups that must agree, so that a shard of n even fingerprints holds SHARD on average."""
+    bits = max(0.0, math.log2(max(n, 1) / SHARD))
+    if bits < 1:
+        return [0]
+    groups = radius + 1
+    while groups < 16 and (groups - radius) * (64 // groups) < bits:
+        groups += 1
+    width = min(64 // groups, int(bits / (groups - radius)) or 1)
+    parts = [((1 << width) - 1) << (64 * k // groups) for k in range(groups)]
+    return [sum(chosen) for chosen in combinations(parts, groups - radius)]
 
 
 class BKForest:
