@@ -2,6 +2,11 @@
 
 Every stage reads the Parquet that its predecessor wrote; all but the last return
 the columns of documents.
+
+Edge cases, for every stage: a null text is an empty one and a doc_id may be null or
+repeat; rows are never joined by doc_id alone.  Very long texts are handled whole.
+Extra columns, whatever their names, go through the first four stages.  An empty table
+gives an empty result with the same columns.
 """
 
 from __future__ import annotations
@@ -15,31 +20,40 @@ from tidelog.llm.common import checkpoint_root, documents, ship
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go whose language the model rejects: without a letter, or scored below its calibrated threshold."""
+    """Documents go whose language the model rejects: without a letter, scored below its calibrated threshold, or unlike all that it has met.
+
+    A null or empty text has no letter and goes; repeated rows stay or go together.
+    """
     ship(spark)
     return language.identified(docs)
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines go that repeat a window of three lines; every document stays."""
+    """Lines go that repeat a window of three lines; every document stays.
+
+    Rows equal in doc_id and text are one document; of others with equal texts the first by doc_id (null first) keeps its lines.
+    """
     ship(spark)
     return lines.without_repeats(docs)
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of linked fingerprints the document with the smallest id stays."""
+    """Of each class of linked fingerprints the document with the smallest id stays.
+
+    One row stays of every class: ids that are null come last, and of equal ids the text's hash decides. Texts without words are one class.
+    """
     ship(spark)
     return simhash.one_per_class(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in texts are replaced by their kind; every document stays."""
+    """Secrets in texts are replaced by their kind; every document stays, a null text as null."""
     ship(spark)
     return secrets.redacted(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The places of the documents' pieces in training sequences."""
+    """The places of the documents' pieces in training sequences; a null or empty text is one id."""
     ship(spark)
     return packing.pack(docs)
 

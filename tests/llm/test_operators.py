@@ -549,7 +549,7 @@ def brute_url(url):
     return host, path, best and best[1], best[2] if best else "block" if score > 0 else "allow"
 
 
-URLS = [None, "", "no scheme/x", "http://A.Example.COM/en/7?x", "https://example.net/de/81#y", "http://net/de/8", "x://org/es/", "http://casino-win.example.org/fr/1", "ftp://ä.example.com?q=/en/", "http://notexample.com/en/7", "http://h#/en/", "://x.com/en/", "http://a/b://c.com/en/"]
+URLS = [None, "", "no scheme/x", "http://A.Example.COM/en/7?x", "https://example.net/de/81#y", "http://net/de/8", "x://org/es/", "http://casino-win.example.org/fr/1", "ftp://ä.example.com?q=/en/", "http://notexample.com/en/7", "http://h#/en/", "://x.com/en/", "http://a/b://c.com/en/", "http://😀.com/a😀b\u0301\0c", "://", "://a"]
 
 
 def test_urls(spark):

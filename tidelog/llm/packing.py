@@ -14,8 +14,10 @@ that the plan has for that length.  Ranks come from a count per task and length,
 so that no length, however common, is gathered in one task.
 
 Edge cases: a null or empty text is the single id 0.  ``doc_id`` may be null or
-repeat; every row is packed by itself.  Extra columns are ignored.  An empty
-table gives an empty result.
+repeat; every row is packed by itself.  A very long text is encoded whole (by the
+library's own code from LONG_TEXT characters on, with the same ids) and cut into as many
+pieces as it needs.  Extra columns, whatever their names, are ignored.  An empty table
+gives an empty result.
 """
 
 from __future__ import annotations

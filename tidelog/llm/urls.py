@@ -6,7 +6,8 @@ table, with the same hash (the first 28 bits of MD5) as the queries use.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path and gets
 the verdict of the model's intercept.  A row whose page_id is null is judged like any
-other, repeated rows one by one.  Extra columns are ignored.  An empty table gives an
+other, repeated rows one by one.  A very long url is judged whole, in time in proportion
+to its length.  Extra columns, whatever their names, are ignored.  An empty table gives an
 empty result.
 """
 
@@ -122,6 +123,19 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
 
 
+def gram_column(text: Column) -> Column:
+    """The character n-grams of a text, or the text itself if it is shorter.
+
+    They are put together from the text's characters and those 1, 2 ... places on, as cutting each
+    one out of the text by its place would read the text from its start every time.
+    """
+    characters = F.filter(F.split(text, "", -1), lambda c: c != "")
+    joined = characters
+    for k in range(1, N_GRAM):
+        joined = F.zip_with(joined, F.slice(characters, k + 1, F.greatest(F.size(characters), F.lit(1))), lambda a, b: F.concat(a, b))
+    return F.when(F.length(text) < N_GRAM, F.array(text)).otherwise(F.filter(joined, lambda g: g.isNotNull()))
+
+
 def judge(pages: DataFrame) -> DataFrame:
     """page_id, host, path, rule, verdict and score (the model's log-odds of a block) for every row of pages.
 
@@ -136,12 +150,11 @@ def judge(pages: DataFrame) -> DataFrame:
     weights, intercept = fit()
     table = F.from_json(F.lit(str(list(weights))), "array<bigint>")
     text = F.concat(F.lit("^"), "host", F.lit("|"), "path", F.lit("$"))
-    starts = F.sequence(F.lit(1), F.greatest(F.length("text") - (N_GRAM - 1), F.lit(1)))
-    found = F.transform(starts, lambda k: F.md5(F.encode(F.substring(F.col("text"), k, N_GRAM), "UTF-8")))
+    found = F.transform(F.col("grams"), lambda g: F.md5(F.encode(g, "UTF-8")))
     scores = F.transform(found, lambda h: F.element_at(F.col("weights"), (F.conv(F.substring(h, 1, 7), 16, 10).cast("int") % BUCKETS) + 1))
     total = F.aggregate(scores, F.lit(0).cast("bigint"), lambda a, x: a + x)
     mean = F.expr("total div size") + F.lit(intercept)
-    rows = rows.withColumn("text", text).withColumn("weights", table).select("page_id", "host", "path", rule.alias("rule"), decided.alias("decided"), total.alias("total"), F.size(starts).cast("bigint").alias("size"))
+    rows = rows.withColumn("grams", gram_column(text)).withColumn("weights", table).select("page_id", "host", "path", rule.alias("rule"), decided.alias("decided"), total.alias("total"), F.size("grams").cast("bigint").alias("size"))
     return rows.select("page_id", "host", "path", "rule", F.coalesce("decided", F.when(mean > 0, "block").otherwise("allow")).alias("verdict"), mean.alias("score"))
 
 
