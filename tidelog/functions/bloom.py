@@ -9,7 +9,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.functions.hashing import modulo, seeded_md5
+from tidelog.functions.hashing import bit, modulo, seeded_md5
+
+#: Bits of a filter that may be broadcast (16 MB).
+PACKED_BITS = 1 << 27
 
 
 @dataclass(frozen=True)
@@ -32,16 +35,30 @@ class Bloom:
         return rows.select("element", seeds).select("element", modulo(seeded_md5(F.col("element"), F.col("seed")), self.m).alias("bit"))
 
     def add(self, rows: DataFrame) -> DataFrame:
-        """The bits that rows (column element) set; m rows at most."""
-        return self._hashed(rows.filter("element is not null")).select("bit").distinct()
+        """The bits that rows (column element) set; m rows at most. Equal elements are hashed once."""
+        return self._hashed(rows.select("element").filter("element is not null").distinct()).select("bit").distinct()
+
+    def packed(self, bits: DataFrame) -> DataFrame:
+        """One row: words, the filter as an array of 64-bit numbers, lowest bits first."""
+        held = bits.groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(bit(F.col("bit") % 64)).alias("value"))
+        every = bits.sparkSession.range(self.m // 64 + 1).withColumnRenamed("id", "word").join(held, "word", "left")
+        listed = F.array_sort(F.collect_list(F.struct("word", F.coalesce("value", F.lit(0).cast("long")).alias("value"))))
+        return every.agg(F.transform(listed, lambda w: w["value"]).alias("words"))
 
     def check(self, probes: DataFrame, bits: DataFrame) -> DataFrame:
         """element and maybe (false: surely absent) for every distinct element of probes.
 
-        Bits of many probes meet the filter's in one join; Spark broadcasts the filter where it is small.
+        A filter of PACKED_BITS at most is broadcast as one row of packed bits and tested where the probes are;
+        a larger one meets the probes' bits in a join.
         """
-        hashed = self._hashed(probes.select("element").distinct())
-        hits = hashed.distinct().join(bits.select("bit", F.lit(1).alias("set")), "bit", "left")
+        elements = probes.select("element").distinct()
+        if self.m <= PACKED_BITS:
+            # A join on a constant with the only row of the other side.
+            held = elements.withColumn("one", F.lit(1)).join(F.broadcast(self.packed(bits).withColumn("one", F.lit(1))), "one")
+            places = F.transform(F.sequence(F.lit(self.seed), F.lit(self.seed + self.k - 1)), lambda seed: modulo(seeded_md5(F.col("element"), seed), self.m))
+            isset = lambda at: F.getbit(F.get("words", F.floor(at / 64).cast("int")), (at % 64).cast("int")) == 1
+            return held.select("element", F.forall(places, isset).alias("maybe"))
+        hits = self._hashed(elements).join(bits.select("bit", F.lit(1).alias("set")), "bit", "left")
         return hits.groupBy("element").agg((F.count("set") == F.count("*")).alias("maybe"))
 
     def dump(self, bits: DataFrame) -> bytes:

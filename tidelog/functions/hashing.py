@@ -29,3 +29,8 @@ def modulo(digest: Column, m: int) -> Column:
 def trailing_zeros(x: Column) -> Column:
     """Trailing zero bits of a positive long."""
     return F.bit_count(x.bitwiseAND(-x) - 1)
+
+
+def bit(at: Column) -> Column:
+    """The long that has only bit ``at`` (0 to 63) set."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), at.cast("int"))

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-import math
-from itertools import combinations
+import hashlib
+import re
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.functions.hashing import word32
+from tidelog.functions.hashing import bit, word32
+from tidelog.session import ship
 
 # The stop words.
 STOP_WORDS = [
@@ -49,19 +54,54 @@ def digest_bits(digest: Column) -> Column:
     return F.conv(F.substring(F.lpad(digits, 128, "0"), 65, 64), 2, -10).cast("long")
 
 
+#: Words that a worker remembers the bits of, and words whose 64 bits it holds apart at once.
+CACHED_WORDS, PIECE = 1_000_000, 1 << 17
+_DIGITS = [f"{b:b}" for b in range(256)]
+
+
+def word_bits(word: str) -> int:
+    """What ``digest_bits`` has for a word's MD5, unsigned."""
+    return int("".join(map(_DIGITS.__getitem__, hashlib.md5(word.encode()).digest()))[-BITS:], 2)
+
+
+def _summed(bits: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each row (the words up to its end) the fingerprint of its words' bits."""
+    starts = np.r_[0, ends[:-1]]
+    ones = np.zeros((len(ends), BITS), dtype=np.int64)
+    for at in range(0, len(bits), PIECE):
+        part = np.unpackbits(bits[at : at + PIECE].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        # Rows that have words in this piece; those without any share a start with the next one.
+        rows = np.flatnonzero((starts < at + len(part)) & (ends > at) & (ends > starts))
+        ones[rows] += np.add.reduceat(part, np.maximum(starts[rows] - at, 0), axis=0, dtype=np.int64)
+    over = 2 * ones > (ends - starts)[:, None]
+    return np.packbits(over, axis=1).view(">u8").ravel().astype(np.uint64).view(np.int64)
+
+
+def _fingerprinted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: dict[str, int] = {}
+    for batch in batches:
+        words = batch.column("words")
+        lists = pc.fill_null(pc.list_value_length(words), 0).to_numpy().astype(np.int64)
+        coded = pc.list_flatten(words).dictionary_encode()
+        if len(known) > CACHED_WORDS:
+            known.clear()
+        distinct = coded.dictionary.to_pylist()
+        for w in distinct:
+            if w not in known:
+                known[w] = word_bits(w)
+        bits = np.array([known[w] for w in distinct], dtype=np.uint64)[coded.indices.to_numpy()] if distinct else np.zeros(0, dtype=np.uint64)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_summed(bits, np.cumsum(lists)), pa.int64())], names=["doc_id", "fingerprint"])
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and fingerprint of every row of docs; 0 for a text without words.
 
-    A bit is set if the weights of the words that have it outweigh the others'.
-    All 64 sums are made in one aggregation; a word is hashed once per document.
+    A bit is set if more than half of the text's words, repeats included, have it.  A row's
+    words are folded where the row is, so nothing is shuffled and rows may share an id or have none.
     """
-    # The digest is a column of its own, as it would be made anew for each of its parts otherwise.
-    weighted = word_weights(docs).withColumn("digest", F.md5(F.encode("word", "UTF-8"))).withColumn("bits", digest_bits(F.col("digest")))
-    sums = [F.sum(F.when(F.shiftrightunsigned("bits", BITS - 1 - k).bitwiseAND(F.lit(1)) == 1, F.col("weight")).otherwise(-F.col("weight"))).alias(f"s{k}") for k in range(BITS)]
-    place = [-(1 << 63), *(1 << (BITS - 1 - k) for k in range(1, BITS))]
-    value = sum((F.when(F.col(f"s{k}") > 0, F.lit(place[k])).otherwise(F.lit(0)) for k in range(1, BITS)), F.when(F.col("s0") > 0, F.lit(place[0])).otherwise(F.lit(0)))
-    made = weighted.groupBy("doc_id").agg(*sums).select("doc_id", value.cast("long").alias("made"))
-    return docs.select("doc_id").join(made, "doc_id", "left").select("doc_id", F.coalesce("made", F.lit(0)).alias("fingerprint"))
+    ship(docs.sparkSession)
+    rows = docs.select("doc_id", without_stop_words(clean_words(F.col("text"))).alias("words"))
+    return rows.mapInArrow(_fingerprinted, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fingerprint long")
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -69,25 +109,31 @@ def distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def agreeing_masks(n: int, radius: int, most: int = 8) -> list[int]:
-    """Masks of 64 bits: fingerprints within radius agree under one of them; evenly spread ones meet in groups of ``most``."""
-    blocks = radius + 1
-    while blocks < 12 and BITS * (blocks - radius) / blocks < math.log2(max(n, 2) / most):
-        blocks += 1
-    edges = [round(BITS * k / blocks) for k in range(blocks + 1)]
-    parts = [(1 << hi) - (1 << lo) for lo, hi in zip(edges, edges[1:], strict=False)]
-    return [m - (1 << 64) if (m := sum(chosen)) >> 63 else m for chosen in combinations(parts, blocks - radius)]
+def neighbours(fingerprint: Column, radius: int) -> Column:
+    """All 64-bit numbers within radius (0 to 2) of a fingerprint."""
+    out = F.array(fingerprint)
+    if radius > 0:
+        out = F.concat(out, F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda i: fingerprint.bitwiseXOR(bit(i))))
+    if radius > 1:
+        pairs = F.transform(F.sequence(F.lit(1), F.lit(BITS - 1)), lambda i: F.transform(F.sequence(F.lit(0), i - 1), lambda j: fingerprint.bitwiseXOR(bit(i)).bitwiseXOR(bit(j))))
+        out = F.concat(out, F.flatten(pairs))
+    return out
 
 
 def near_pairs(prints: DataFrame, radius: int) -> DataFrame:
-    """a, b and distance for pairs of different fingerprints a < b within radius; documents with equal ones are one node."""
+    """a, b and distance for pairs of different fingerprints a < b within radius (4 at most); documents with equal ones are one node.
+
+    Two such fingerprints have a number between them, half the radius from each.  Each one is dealt to all
+    numbers that near it, so that no number, however crowded its surroundings, brings together more
+    fingerprints than it has neighbours itself, and only pairs within the radius are made.
+    """
+    if not 0 <= radius <= 4:
+        raise ValueError("the radius is from 0 to 4")
     distinct = prints.select("fingerprint").distinct()
-    masks = agreeing_masks(distinct.count(), radius)
-    keys = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("fingerprint").bitwiseAND(F.lit(m)).alias("part")) for k, m in enumerate(masks)])).alias("key")
-    dealt = distinct.select("fingerprint", keys)
-    left, right = dealt.withColumnRenamed("fingerprint", "a"), dealt.withColumnRenamed("fingerprint", "b")
-    pairs = left.join(right, "key").filter((F.col("a") < F.col("b")) & (distance(F.col("a"), F.col("b")) <= radius))
-    return pairs.select("a", "b").distinct().withColumn("distance", distance(F.col("a"), F.col("b")))
+    left = distinct.select(F.col("fingerprint").alias("a"), F.explode(neighbours(F.col("fingerprint"), (radius + 1) // 2)).alias("between"))
+    right = distinct.select(F.col("fingerprint").alias("b"), F.explode(neighbours(F.col("fingerprint"), radius // 2)).alias("between"))
+    pairs = left.join(right, "between").filter(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs.withColumn("distance", distance(F.col("a"), F.col("b"))).filter(F.col("distance") <= radius)
 
 
 def quoted(text: Column) -> Column:
@@ -95,29 +141,21 @@ def quoted(text: Column) -> Column:
     return F.when(text.rlike('[ \\t"]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('\\"')), F.lit('"'))).otherwise(text)
 
 
+_PIECE = re.compile(r'''(?P<blank>[ \t]+)|"(?P<quoted>(?:[^"\\]|\\.)*+)"|\\(?P<escaped>.?)|(?P<plain>[^"\\ \t]+)|(?P<open>")''', re.DOTALL)
+
+
 def tokenize(line: str, compat: bool = True) -> list[str]:
     """The arguments of a command line: quotes group, a backslash takes the next character as it is, spaces and tabs part.
 
     An unclosed quote is an error.  ``compat`` drops empty quoted arguments.
     """
-    parts, word, begun, quoting, escaped = [], [], False, False, False
-    for c in line:
-        if escaped:
-            word.append(c)
-            escaped = False
-        elif c == "\\":
-            escaped = begun = True
-        elif c == '"':
-            quoting = not quoting
-            begun = True
-        elif c in " \t" and not quoting:
-            if word or begun and not compat:
-                parts.append("".join(word))
-            word, begun = [], False
+    words: list[list[str]] = [[]]
+    for piece in _PIECE.finditer(line):
+        kind = piece.lastgroup
+        if kind == "open":
+            raise ValueError("a quote is not closed")
+        if kind == "blank":
+            words.append([])
         else:
-            word.append(c)
-    if quoting:
-        raise ValueError("a quote is not closed")
-    if word or begun and not compat:
-        parts.append("".join(word))
-    return parts
+            words[-1].append(re.sub(r"\\(.)", r"\1", piece["quoted"], flags=re.DOTALL) if kind == "quoted" else piece[kind])
+    return ["".join(parts) for parts in words if any(parts) or parts and not compat]

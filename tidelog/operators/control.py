@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections import OrderedDict
+from collections.abc import Iterable, Iterator
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Verbs that cost a token.
+# Verbs that cost a token.
 THROTTLED = frozenset(
     "PUT GET DELETE PREFIX_SCAN RANGE_SCAN PREFIX_ITERATE RANGE_ITERATE BLOOM_CREATE BLOOM_ADD BLOOM_CHECK CMS_CREATE CMS_ADD CMS_COUNT HLL_CREATE HLL_ADD HLL_COUNT SIMHASH_CREATE SIMHASH_DISTANCE".split()
 )
@@ -31,19 +31,23 @@ def admit(requests: DataFrame, rate: int, interval: int) -> DataFrame:
         raise ValueError("rate and interval start at 1")
     seconds = requests.select("bucket", F.col("second").cast("long")).groupBy("bucket", "second").agg(F.count("*").alias("requests"))
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("second")
-        second, number = rows["second"].to_numpy(), rows["requests"].to_numpy()
-        admitted, at = np.zeros(len(rows), dtype=np.int64), 0
-        while at < len(rows):
-            end = int(np.searchsorted(second, second[at] + interval))
-            taken = np.minimum(number[at:end].cumsum(), rate)
-            admitted[at:end] = np.diff(taken, prepend=0)
-            at = end
-        return rows.assign(admitted=admitted)
-
     kind = requests.schema["bucket"].dataType.simpleString()
-    return seconds.groupBy("bucket").applyInPandas(fold, f"bucket {kind}, second long, requests long, admitted long")
+    # A bucket's seconds follow one another in one partition; state goes from batch to batch, so that no bucket is held as a whole.
+    dealt = seconds.repartition("bucket").sortWithinPartitions("bucket", "second")
+
+    def fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, start, left = object(), 0, 0
+        for batch in batches:
+            admitted = []
+            for own, second, number in zip(*(batch.column(c).to_pylist() for c in ("bucket", "second", "requests")), strict=True):
+                if own != bucket or second - start >= interval:
+                    bucket, start, left = own, second, rate
+                taken = number if number < left else left
+                left -= taken
+                admitted.append(taken)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(admitted, pa.int64())], names=["bucket", "second", "requests", "admitted"])
+
+    return dealt.mapInArrow(fold, f"bucket {kind}, second long, requests long, admitted long")
 
 
 class Bucket:

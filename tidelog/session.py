@@ -1,8 +1,10 @@
-"""Spark sessions, and cutting lineage in a folder that survives lost executors."""
+"""Spark sessions, shipping this package to workers, and cutting lineage in a folder that survives lost executors."""
 
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,7 +16,21 @@ def session(name: str = "tidelog", master: str | None = None, shuffle_partitions
         builder = builder.master(master)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends this package to the Python workers, which need not share the driver's folders or path."""
+    context = spark.sparkContext
+    if not getattr(context, "_tidelog_shipped", False):
+        package = Path(__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp(prefix="tidelog-")) / "tidelog.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for source in sorted(package.rglob("*.py")):
+                out.write(source, source.relative_to(package.parent))
+        context.addPyFile(str(archive))
+        context._tidelog_shipped = True
+    return spark
 
 
 def checkpoint_root(spark: SparkSession) -> str:
