@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
 from collections.abc import Iterable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.session import checkpoint_root, cut_lineage
+from tidelog.session import checkpoint_root, cut_lineage, ship
 
 __all__ = ["checkpoint_root", "cut_by", "cut_lineage", "documents", "pages", "ship", "sliced", "texts_of"]
 
@@ -20,20 +17,6 @@ __all__ = ["checkpoint_root", "cut_by", "cut_lineage", "documents", "pages", "sh
 SLICE_BYTES = 4 << 20
 
 
-def ship(spark: SparkSession) -> SparkSession:
-    """Sends this package to the Python workers, which need not share the driver's folders or path."""
-    context = spark.sparkContext
-    if not getattr(context, "_tidelog_shipped", False):
-        package = Path(__file__).resolve().parents[1]
-        archive = Path(tempfile.mkdtemp(prefix="tidelog-")) / "tidelog.zip"
-        with zipfile.ZipFile(archive, "w") as out:
-            for source in sorted(package.rglob("*.py")):
-                out.write(source, source.relative_to(package.parent))
-        context.addPyFile(str(archive))
-        context._tidelog_shipped = True
-    return spark
-
-
 def sliced(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts record batches so that column holds about ``limit`` bytes in each (one row at least)."""
     for batch in batches:
