@@ -81,18 +81,96 @@ def fragment(kind, key, value, ts, gone):
     return checked(stamp(ts) + bytes([not gone, kind]) + struct.pack("<QQ", len(key), len(value)) + key + value)
 
 
-@pytest.mark.parametrize("lose", [False, True])
-def test_log(spark, tmp_path, lose):
-    block = 128
-    key, value = "č".encode(), b"x" * 300
-    blocks = [fragment(0, b"a", b"one", 5, False) + fragment(0, b"c", b"", 7, True)]
-    cuts = [(1, key, value[:40]), (2, b"", value[40:120]), (2, b"", value[120:200]), (2, b"", value[200:280]), (3, b"", value[280:])]
-    blocks += [fragment(kind, k, v, 8, False) for n, (kind, k, v) in enumerate(cuts) if not (lose and n == 4)]
-    segments = [blocks[:3], blocks[3:]]
-    for n, held in enumerate(segments):
-        head = b"WAL" + struct.pack("<I", n)
-        parts = [(head if k == 0 else b"") + b for k, b in enumerate(held)]
-        assert all(len(p) <= block for p in parts)
-        (tmp_path / f"wal_{n:04}.log").write_bytes(b"".join(p.ljust(block, b"\0") for p in parts))
-    found = tuples(binary_files.read_log(spark, str(tmp_path), block))
-    assert found == sorted([("a", "one", 5, False), ("c", None, 7, True), *([] if lose else [("č", "x" * 300, 8, False)])])
+BLOCK = 128
+
+
+def log_blocks(records):
+    """Blocks of a log, each a list of fragments: records fill blocks up and go on in the next ones."""
+    blocks, room = [[]], BLOCK - 7
+    for key, value, ts, gone in records:
+        rest_key, rest_value, begun = key.encode(), (value or "").encode(), False
+        while True:
+            fits = room - 38
+            if fits < 1:
+                blocks.append([])
+                room = BLOCK if len(blocks) % 3 != 1 else BLOCK - 7
+                continue
+            k, v = rest_key[:fits], rest_value[: max(0, fits - len(rest_key))]
+            rest_key, rest_value = rest_key[len(k) :], rest_value[len(v) :]
+            done = not rest_key and not rest_value
+            kind = (3 if done else 2) if begun else (0 if done else 1)
+            blocks[-1].append(fragment(kind, k, v, ts, gone))
+            room -= len(blocks[-1][-1])
+            begun = True
+            if done:
+                break
+    return blocks
+
+
+def write_log(folder, blocks, lost=None):
+    """Segments of three blocks; of the fragments the one at place lost is damaged."""
+    n = 0
+    for number in range(0, len(blocks), 3):
+        parts = []
+        for k, held in enumerate(blocks[number : number + 3]):
+            out = b"WAL" + struct.pack("<I", number // 3) if k == 0 else b""
+            for one in held:
+                out += one[:-1] + bytes([one[-1] ^ 1]) if n == lost else one
+                n += 1
+            assert len(out) <= BLOCK
+            parts.append(out.ljust(BLOCK, b"\0"))
+        (folder / f"wal_{number // 3:04}.log").write_bytes(b"".join(parts))
+
+
+LOG = [("a", "one", 5, False), ("k1", "x" * 300, 8, False), ("c", None, 7, True), ("k2", "y" * 200, 8, False), ("č", "z" * 1500, 9, False), ("d", "", 10, False), ("k3", "w" * 90, 8, False)]
+
+
+def test_log(spark, tmp_path):
+    write_log(tmp_path, log_blocks(LOG))
+    assert len(list(tmp_path.iterdir())) > 4
+    assert tuples(binary_files.read_log(spark, str(tmp_path), BLOCK)) == sorted(LOG)
+
+
+def owners():
+    """The record of each fragment, in order."""
+    alone = [[f for held in log_blocks(LOG[: k + 1]) for f in held] for k in range(len(LOG))]
+    return [k for k, held in enumerate(alone) for _ in range(len(held) - (len(alone[k - 1]) if k else 0))]
+
+
+def test_each_lost_fragment_loses_its_record_alone(spark, tmp_path):
+    blocks, whose = log_blocks(LOG), owners()
+    assert len(whose) == sum(map(len, blocks)) > 20
+    for lost in (0, 1, 2, len(whose) // 2, len(whose) - 2, len(whose) - 1):
+        folder = tmp_path / f"{lost:03}"
+        folder.mkdir()
+        write_log(folder, blocks, lost)
+        assert tuples(binary_files.read_log(spark, str(folder), BLOCK)) == sorted(r for k, r in enumerate(LOG) if k != whose[lost])
+
+
+def test_a_lost_segment_loses_what_reaches_over_it(spark, tmp_path):
+    write_log(tmp_path, log_blocks(LOG))
+    (tmp_path / "wal_0002.log").unlink()
+    found = tuples(binary_files.read_log(spark, str(tmp_path), BLOCK))
+    assert set(found) < set(LOG) and LOG[0] in found and LOG[4] not in found
+
+
+def test_workers_need_not_share_the_folder(tmp_path):
+    """A session that starts elsewhere, with the package on the driver's path alone."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    (tmp_path / "log").mkdir()
+    write_log(tmp_path / "log", log_blocks(LOG))
+    script = f"""
+import sys
+sys.path.insert(0, {str(Path(__file__).resolve().parents[1])!r})
+from tidelog.session import session
+from tidelog.sources import binary_files
+spark = session("elsewhere", "local[2]", 2)
+print("rows", binary_files.read_log(spark, {str(tmp_path / "log")!r}, {BLOCK}).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    told = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=200)
+    assert f"rows {len(LOG)}" in told.stdout, told.stderr[-2000:]

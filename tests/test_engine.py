@@ -19,6 +19,7 @@ from tidelog.operators import control, dictionary, integrity, ordering, resolve,
 from tidelog.plans import compaction
 from tidelog.plans.compaction import Run
 from tidelog.sources import runs, wal
+from tidelog.sources.dictionary import DictionaryStore
 from tidelog.sources.sketches import SketchStore
 from tidelog.streaming import live
 
@@ -438,15 +439,240 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     assert capsys.readouterr().out.splitlines() == ["added [a -> 1]", "found [a -> 1]", "token limit exceeded, wait", "bye"]
 
 
-def test_validate_sees_a_change(spark, tmp_path):
+def rewritten(store, row, change):
+    """The files of a run, changed in place."""
+    fs, path = store._fs(row["path"])
+    change(store.spark.read.parquet(row["path"])).write.parquet(f"{row['path']}-new")
+    fs.delete(path, True)
+    fs.rename(store._fs(f"{row['path']}-new")[1], path)
+
+
+def bad(store):
+    return sorted(((r["run"], r["part"], r["block"], r["state"]) for r in store.validate().collect()), key=str)
+
+
+@pytest.mark.parametrize("batches", [False, True])
+def test_validate_lists_bad_blocks(spark, tmp_path, batches):
+    store = runs.RunStore(spark, str(tmp_path / "runs"), 5)
+    rows = [(f"k{k:03}", f"v{k}", k, k, False) for k in range(100)]
+    if batches:
+        store.append_batches(write.flush_batches(write.batch(spark, rows), 50))
+    else:
+        store.append(write.batch(spark, rows))
+        store.append(write.batch(spark, rows[:1]))
+    assert bad(store) == []
+    first = store.manifest()[0]
+    places = {r["key"]: divmod(r["_place"], 1 << 33) for r in spark.read.parquet(first["path"]).collect()}
+    at = lambda key: (first["run"], places[key][0], places[key][1] // 5)
+    # Nothing has validated the run before the damage.
+    rewritten(store, first, lambda df: df.withColumn("value", F.when(F.col("key") == "k007", "?").otherwise(F.col("value"))))
+    assert bad(store) == [(*at("k007"), "changed")]
+    last = max(places, key=lambda k: (places[k][0], places[k][1]))
+    lost = {at(last), at("k007")}
+    rewritten(store, first, lambda df: df.filter(F.col("key") != last))
+    assert {b[:3] for b in bad(store)} == lost
+    spark.createDataFrame([("new", 1, 1, False, "?", 77 << 33)], "key string, ts long, seq long, tombstone boolean, value string, _place long").write.mode("append").parquet(first["path"])
+    assert (first["run"], 77, 0, "added") in bad(store)
+    store._fs(first["path"])[0].delete(store._fs(first["path"])[1], True)
+    assert {b[3] for b in bad(store)} == {"missing"} and {b[0] for b in bad(store)} == {first["run"]}
+
+
+def test_validate_sees_kept_hashes_that_were_changed(spark, tmp_path):
+    store = runs.RunStore(spark, str(tmp_path / "runs"), 5)
+    store.append(write.batch(spark, [(f"k{k:03}", "v", k, k, False) for k in range(60)]))
+    (row,) = store.manifest()
+    leaves = f"{store.path}/leaves/{row['run']}"
+    spark.read.parquet(leaves).withColumn("hash", F.when(F.col("block") == 0, F.lit("0" * 32)).otherwise(F.col("hash"))).write.parquet(f"{leaves}-new")
+    store._fs(leaves)[0].delete(store._fs(leaves)[1], True)
+    store._fs(leaves)[0].rename(store._fs(f"{leaves}-new")[1], store._fs(leaves)[1])
+    assert {b[3] for b in bad(store)} == {"changed", "root"}
+
+
+def test_validate_in_a_store(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     store.put_all({f"k{k}": "v" for k in range(4)})
     store.flush()
-    assert all(store.validate().values())
+    assert list(store.validate().values()) == [[]]
     (row,) = store.runs.manifest()
-    changed = spark.createDataFrame([("k0", "?", 1, 1, False)], MUTATION)
-    changed.write.mode("append").parquet(row["path"])
-    assert not any(store.validate().values())
+    rewritten(store.runs, row, lambda df: df.withColumn("value", F.lit("?")))
+    assert all(store.validate().values()) and "changed in" in Shell(store).answer("VALIDATE")
+
+
+def model_tree(hashes):
+    levels = [hashes]
+    while len(levels[-1]) > 1:
+        row = levels[-1] + [integrity.ZERO_NODE] * (len(levels[-1]) % 2)
+        levels.append([hashlib.md5(bytes.fromhex(a + b)).hexdigest() for a, b in zip(row[::2], row[1::2], strict=True)])
+    return levels
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 8, 9, 16, 17, 33])
+def test_trees_are_folded_in_steps(spark, monkeypatch, n):
+    monkeypatch.setattr(integrity, "FAN_OUT", 4)
+    run = write.batch(spark, [(f"k{k:03}", "v", k, k, False) for k in range(n)])
+    hashes = [r["hash"] for r in integrity.leaves(run, 1).orderBy("idx").collect()]
+    levels = model_tree(hashes)
+    assert integrity.root(run, 1).first()["root"] == levels[-1][0]
+    found = {(r["level"], r["idx"]): r["hash"] for r in integrity.tree(run, 1).collect()}
+    assert {at: h for at, h in found.items() if at[1] < len(levels[at[0]])} == {(k, i): h for k, level in enumerate(levels) for i, h in enumerate(level)}
+
+
+def test_roots_of_groups(spark):
+    rows = [(f"r{n}", 0, k, hashlib.md5(f"{n}.{k}".encode()).hexdigest()) for n in range(1, 12) for k in range(n)]
+    leaves = spark.createDataFrame(rows, "run string, part long, block long, hash string")
+    found = {r["run"]: r["root"] for r in integrity.roots(leaves, "run", 11).collect()}
+    assert found == {f"r{n}": model_tree([h for run, _, _, h in rows if run == f"r{n}"])[-1][0] for n in range(1, 12)}
+
+
+def files(df):
+    return {f.rpartition("/")[0].rpartition("/runs/")[2] for f in df.inputFiles()}
+
+
+def test_reads_open_only_runs_that_may_matter(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"), config.Config(max_count_in_level=50))
+    for part in range(4):
+        # Ranges of all runs meet; keys differ.
+        store.put_all({f"k{k:02}": str(part) for k in range(part, 40, 4)})
+        store.flush()
+    every = {r["run"] for r in store.runs.manifest()}
+    assert len(every) == 4
+    opened = files(store.mutations(key="k05"))
+    assert store.get("k05") == "1" and len(opened) < 4 and store.runs.manifest()[1]["run"] in opened
+    assert store.get("k99") is None and store.runs.read(key="k99") is None
+    store.put_all({"zz1": "a", "zz2": "b"})
+    store.flush()
+    assert {r["key"] for r in store.prefix_scan("zz").collect()} == {"zz1", "zz2"} and len(files(store.mutations("zz", runs.successor("zz")))) == 1
+    assert {r["key"] for r in store.range_scan("zz", "zz1").collect()} == {"zz1"}
+
+
+@given(st.text(max_size=4), st.text(max_size=6))
+def test_successor_bounds_a_prefix(prefix, rest):
+    prefix, rest = prefix.encode(errors="ignore").decode(), rest.encode(errors="ignore").decode()
+    above = runs.successor(prefix)
+    assert above is None or prefix + rest < above and prefix + rest.replace("\U0010ffff", "") + "\U0010fffe" < above
+    assert runs.successor("") is None and runs.successor("\U0010ffff") is None and runs.successor("a\ud7ff") == "a\ue000"
+
+
+def test_manifest_filters_have_all_keys(spark, tmp_path):
+    store = runs.RunStore(spark, str(tmp_path / "runs"))
+    keys = [f"č{k}" for k in range(300)]
+    store.append(write.batch(spark, [(k, "v", n, n, False) for n, k in enumerate(keys)]))
+    store.append_batches(write.flush_batches(write.batch(spark, [(k, "v", n, n, False) for n, k in enumerate(keys)]), 70))
+    for row in store.manifest():
+        held = {r["key"] for r in spark.read.parquet(row["path"]).collect()}
+        assert all(runs.may_hold(row["filter"], k) for k in held)
+        assert sum(runs.may_hold(row["filter"], f"other{k}") for k in range(1000)) < 50
+    assert runs.may_hold(None, "x")
+
+
+def test_vacuum(spark, tmp_path):
+    store = runs.RunStore(spark, str(tmp_path / "runs"))
+    rows = random_rows(3, 200)
+    for at in range(0, 100, 25):
+        store.append(write.batch(spark, rows[at : at + 25]))
+    store.append_batches(write.flush_batches(write.batch(spark, rows[100:]), 25))
+    opened = store.read()
+    compaction.compact(store, "size_tiered", 2)
+    # What a reader may have opened stays for its time.
+    assert store.vacuum(3600) == (0, 0) and held(resolve.snapshot(opened)) == model(rows)
+    versions = len(store._versions())
+    gone = store.vacuum(0, now=2**40)
+    assert gone[0] >= 8 and gone[1] == versions - 1 and store.vacuum(0, now=2**40) == (0, 0)
+    assert held(resolve.snapshot(store.read())) == model(rows) and bad(store) == []
+    listed = {r["run"].partition("/")[0] for r in store.manifest()}
+    assert {p.name for p in (tmp_path / "runs" / "runs").iterdir() if not p.name.startswith(".")} == listed
+
+
+def test_segments_rotate(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"), config.Config(max_memtable_size=50, wal_max_records_per_segment=4))
+    for k in range(3):
+        store.put(f"a{k}", "v")
+    store.put_all({f"b{k}": "v" for k in range(7)})
+    log = wal.read(spark, f"{store.path}/wal")
+    assert {r["segment_id"]: r["count"] for r in log.groupBy("segment_id").count().collect()} == {0: 4, 1: 4, 2: 2}
+    assert log.select("segment_id", "position").distinct().count() == 10
+    again = Store(spark, store.path, store.config)
+    assert again.get("b6") == "v" and again.segment == 3
+    again.flush()
+    assert not [p for p in (tmp_path / "store" / "wal").iterdir() if p.name.startswith("segment_id=")]
+
+
+def test_dictionary_is_kept(spark, tmp_path):
+    store = DictionaryStore(spark, str(tmp_path / "dictionary"))
+    assert store.read().collect() == []
+    rows = [("b", "1", 1, 0, False), ("a", "1", 2, 1, False), ("c", "1", 3, 2, False), ("b", "2", 4, 3, False), ("d", "1", 5, 4, False)]
+    store.update(write.batch(spark, rows[:2]))
+    store.update(write.batch(spark, rows))
+    store.update(write.batch(spark, rows))
+    again = DictionaryStore(spark, store.path)
+    assert {r["key"]: r["id"] for r in again.read().collect()} == {"b": 1, "a": 2, "c": 3, "d": 4} and again.read().count() == 4
+    log = write.batch(spark, rows)
+    assert sorted(map(tuple, again.decode(again.encode(log)).select(*log.columns).collect()), key=str) == sorted(rows, key=str)
+
+
+def model_print(text_):
+    words = [w for w in "".join(c for c in text_.lower() if c.isalpha() or c in " \t\n").split() if w not in text.STOP_WORDS]
+    digits = ["".join(f"{b:b}" for b in hashlib.md5(w.encode()).digest()).rjust(128, "0")[-64:] for w in words]
+    found = int("".join("1" if 2 * sum(d[k] == "1" for d in digits) > len(digits) else "0" for k in range(64)), 2)
+    return found - (1 << 64) if found >> 63 else found
+
+
+def test_fingerprints_are_of_rows(spark, monkeypatch):
+    rows = [(1, "a quick fox"), (1, "another text with words"), (None, "some words without id"), (None, "quick fox fox"), (2, ""), (3, None), (4, "the"), (5, "word " * 300 + "other " * 200)]
+    found = [tuple(r) for r in text.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(found, key=str) == sorted(((d, model_print(t or "")) for d, t in rows), key=str)
+    import numpy as np
+
+    bits = np.array([text.word_bits(w) for w in "some words of a text that has several pieces".split()], dtype=np.uint64)
+    ends = np.array([0, 3, 3, 8, 9, 9])
+    whole = text._summed(bits, ends)
+    for piece in (1, 2, 4):
+        monkeypatch.setattr(text, "PIECE", piece)
+        assert (text._summed(bits, ends) == whole).all()
+
+
+@pytest.mark.parametrize("radius", range(4))
+def test_near_pairs_are_all_pairs_within_the_radius(spark, radius):
+    rng = random.Random(radius)
+    base = [rng.getrandbits(64) for _ in range(3)]
+    prints = {b ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(4))) for b in base for _ in range(25)}
+    signed = sorted(p - (1 << 64) if p >> 63 else p for p in prints)
+    df = spark.createDataFrame([(p,) for p in signed + signed[:5]], "fingerprint long")
+    expected = {(a, b, d) for k, a in enumerate(signed) for b in signed[k + 1 :] if (d := ((a ^ b) & (1 << 64) - 1).bit_count()) <= radius}
+    assert sorted(map(tuple, text.near_pairs(df, radius).collect())) == sorted(expected)
+
+
+def test_bloom_checks_agree(spark, monkeypatch):
+    b = bloom.Bloom.sized(60, 0.2)
+    bits = b.add(spark.createDataFrame([(f"w{k}",) for k in range(60)], "element string"))
+    probes = spark.createDataFrame([(f"w{k}",) for k in range(40, 200)] * 2, "element string")
+    here = {r["element"]: r["maybe"] for r in b.check(probes, bits).collect()}
+    monkeypatch.setattr(bloom, "PACKED_BITS", 0)
+    assert here == {r["element"]: r["maybe"] for r in b.check(probes, bits).collect()} and len(here) == 160
+
+
+def test_admission_goes_on_over_batches(spark):
+    rng = random.Random(15)
+    requests = [(rng.choice("abc"), rng.randrange(5000)) for _ in range(3000)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        told = {(r["bucket"], r["second"]): (r["requests"], r["admitted"]) for r in control.admit(spark.createDataFrame(requests, "bucket string, second long"), 3, 40).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    buckets, expected = {k: control.Bucket(3, 40) for k in "abc"}, {}
+    for b, s in sorted(requests):
+        n, admitted = expected.get((b, s), (0, 0))
+        expected[b, s] = (n + 1, admitted + buckets[b].admit(s))
+    assert told == expected
+
+
+def test_overlap_counts(spark):
+    rng = random.Random(16)
+    bounds = [tuple(sorted((f"k{rng.randrange(30):02}", f"k{rng.randrange(30):02}"))) for _ in range(40)]
+    manifest = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(bounds)], "flush_id long, min_key string, max_key string")
+    meets = lambda x, y: x[0] <= y[1] and y[0] <= x[1]
+    assert {r["flush_id"]: r["overlapping"] for r in runs.overlap_counts(manifest).collect()} == {k: sum(meets(x, y) for y in bounds) - 1 for k, x in enumerate(bounds)}
+    assert {r["flush_id"] for r in runs.meeting(manifest, F.lit("k05"), F.lit("k08")).collect()} == {k for k, x in enumerate(bounds) if meets(x, ("k05", "k08"))}
 
 
 def test_sketch_store(spark, tmp_path):
@@ -469,6 +695,12 @@ def test_streams(spark, tmp_path):
     q = live.snapshots(stream).writeStream.outputMode("complete").format("memory").queryName("newest").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert held(spark.table("newest").filter("not tombstone")) == model(rows)
+    kept = runs.RunStore(spark, str(tmp_path / "kept"))
+    for _ in range(2):
+        live.materialize(stream, kept, str(tmp_path / "state")).awaitTermination(120)
+    assert held(resolve.snapshot(kept.read())) == model(rows) and len(kept.manifest()) == 4
+    kept.append(write.batch(spark, rows[:3]), source=kept.manifest()[0]["source"])
+    assert len(kept.manifest()) == 4
     store = runs.RunStore(spark, str(tmp_path / "store"))
     for _ in range(2):  # the second pass finds nothing new
         live.flush(stream, store, str(tmp_path / "check"), lambda s: compaction.compact(s, "size_tiered", 2)).awaitTermination(120)

@@ -8,7 +8,7 @@ from dataclasses import dataclass, fields
 
 @dataclass(frozen=True)
 class Config:
-    """What a store can be told. Sizes of memory structures, blocks and segments have no counterpart in Spark and are accepted only."""
+    """What a store can be told. Sizes of memory structures and caches that have no counterpart in Spark are accepted only."""
 
     max_memtable_size: int = 5
     memtable_num: int = 2
@@ -19,6 +19,8 @@ class Config:
     merkle_block: int = 128
     compaction: str = "size_tiered"
     max_count_in_level: int = 5
+    #: Seconds for which compacted runs and old manifests stay, for readers that opened them.
+    retention: int = 3600
 
     def __post_init__(self):
         if self.compaction not in ("size_tiered", "leveled"):
@@ -40,6 +42,7 @@ NAMES = {
     "BlockSize": "merkle_block",
     "CompactionAlgorithm": "compaction",
     "MaxCountInLevel": "max_count_in_level",
+    "RetentionSeconds": "retention",
 }
 #: Settings of structures that Spark and Parquet have themselves.
 ACCEPTED = {"MemtableStruct", "SkipListLevelNum", "BTreeDegree", "BlockCacheSize", "WalBlocksPerSegment", "SummaryStep", "SSTableSingleFile", "SSTableCompression"}

@@ -21,6 +21,7 @@ from tidelog.operators.ordering import with_row_index
 from tidelog.plans import compaction
 from tidelog.session import checkpoint_root, cut_lineage
 from tidelog.sources import runs, wal
+from tidelog.sources.dictionary import DictionaryStore
 from tidelog.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -195,9 +196,14 @@ def manifest_ranges(spark, sf_dir):
     return runs.manifest_of(flush_batches(spark, sf_dir))
 
 
-@query(f"WITH {BATCHES} SELECT a.flush_id AS a, b.flush_id AS b FROM manifest a, manifest b WHERE a.flush_id < b.flush_id AND a.min_key <= b.max_key AND b.min_key <= a.max_key")
-def run_overlap_pairs(spark, sf_dir):
-    return runs.overlaps(manifest_ranges(spark, sf_dir))
+@query(f"WITH {BATCHES} SELECT a.flush_id, count(*) - 1 AS overlapping FROM manifest a JOIN manifest b ON a.min_key <= b.max_key AND b.min_key <= a.max_key GROUP BY a.flush_id")
+def run_overlaps(spark, sf_dir):
+    return runs.overlap_counts(manifest_ranges(spark, sf_dir))
+
+
+@query(f"WITH {BATCHES} SELECT flush_id FROM manifest WHERE min_key <= 'u000100' AND max_key >= 'u000010'")
+def runs_meeting_range(spark, sf_dir):
+    return runs.meeting(manifest_ranges(spark, sf_dir), F.lit("u000010"), F.lit("u000100"))
 
 
 @query(f"WITH log AS ({EVENTS_SQL}) SELECT count(DISTINCT key) AS keys, count(DISTINCT key) >= 100 AS full FROM log")
@@ -232,6 +238,75 @@ def tombstone_gc(spark, sf_dir):
     return resolve.deleted(rows).select("key").join(resolve.version_counts(rows), "key").select("key", F.col("versions").alias("dropped"))
 
 
+# Stored runs.
+
+STORES: dict[tuple[str, str], runs.RunStore] = {}
+#: Parts of the events that become runs of their own, so that some key ranges and filters leave runs out.
+STORED_RUNS = 8
+
+
+def stored(spark: SparkSession, sf_dir: str) -> runs.RunStore:
+    """A store of all events, keyed by user and event type, in runs of consecutive keys and one of the newest writes; made once per session and table."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in STORES:
+        store = runs.RunStore(spark, f"{checkpoint_root(spark)}/stored-{uuid.uuid4().hex}", BLOCK)
+        rows = with_row_index(log(spark, sf_dir, fine=True), "key", "ts", "seq")
+        n = max(1, rows.count())
+        store.append_batches(rows.withColumn("flush_id", F.expr(f"row_index * {STORED_RUNS} div {n}")).drop("row_index"))
+        STORES[at] = store
+    return STORES[at]
+
+
+@query(f"WITH {FINE} SELECT key, value FROM snap WHERE key = 'u000042:view'")
+def kv_get_stored(spark, sf_dir):
+    store = stored(spark, sf_dir)
+    held = store.read(key="u000042:view")
+    return scan.get(log(spark, sf_dir).limit(0) if held is None else held, "u000042:view")
+
+
+@query(f"WITH {FINE} SELECT key, value FROM snap WHERE key BETWEEN 'u000010' AND 'u000020:view' ORDER BY key LIMIT 25")
+def range_scan_stored(spark, sf_dir):
+    held = stored(spark, sf_dir).read("u000010", "u000020:view")
+    return scan.page(scan.range_scan(log(spark, sf_dir).limit(0) if held is None else held, "u000010", "u000020:view"), 1, 25)
+
+
+@query(f"WITH {FINE} SELECT key, value FROM snap WHERE starts_with(key, 'u0000') ORDER BY key LIMIT 10")
+def prefix_scan_stored(spark, sf_dir):
+    held = stored(spark, sf_dir).read("u0000", runs.successor("u0000"))
+    return scan.page(scan.prefix_scan(log(spark, sf_dir).limit(0) if held is None else held, "u0000"), 1, 10)
+
+
+@query(f"WITH {LATEST} SELECT 'whole' AS state, 0::BIGINT AS bad_blocks, 0::BIGINT AS bad_roots UNION ALL SELECT 'damaged', count(*), 0 FROM newest WHERE key = 'u000042'")
+def validate_run(spark, sf_dir):
+    """A run is validated as it was written, and again after a value in its files was changed, which nothing had looked at before."""
+    store = runs.RunStore(spark, f"{checkpoint_root(spark)}/validated-{uuid.uuid4().hex}", BLOCK)
+    store.append(log(spark, sf_dir))
+    told = lambda state: store.validate().agg(F.count("block").alias("bad_blocks"), F.count_if(F.col("state") == "root").alias("bad_roots")).select(F.lit(state).alias("state"), "*")
+    whole = cut_lineage(told("whole"))
+    for row in store.manifest():
+        fs, path = store._fs(row["path"])
+        held = spark.read.parquet(row["path"])
+        other = f"{row['path']}-damaged"
+        held.withColumn("value", F.when(F.col("key") == "u000042", "changed").otherwise(F.col("value"))).write.parquet(other)
+        fs.delete(path, True)
+        fs.rename(store._fs(other)[1], path)
+    return whole.unionByName(cut_lineage(told("damaged")))
+
+
+@query("SELECT * FROM (VALUES ('u0000', 'u0001'), ('z', '{'), ('a~', 'a' || chr(127))) AS t(prefix, successor)")
+def prefix_bounds(spark, sf_dir):
+    return spark.createDataFrame([(p, runs.successor(p)) for p in ("u0000", "z", "a~")], "prefix string, successor string")
+
+
+@query(f"WITH {LATEST} SELECT * FROM snap")
+def vacuum_keeps_snapshot(spark, sf_dir):
+    store = runs.RunStore(spark, f"{checkpoint_root(spark)}/vacuumed-{uuid.uuid4().hex}")
+    store.append_batches(write.flush_batches(log(spark, sf_dir), 3_000))
+    compaction.compact(store, "size_tiered", MOST_RUNS)
+    store.vacuum(0, now=2**40)
+    return resolve.snapshot(store.read())
+
+
 # Log.
 
 SEGMENTS = f"log AS ({EVENTS_SQL}), segs AS (SELECT *, (row_number() OVER (ORDER BY ts, seq) - 1) // {SEGMENT_SIZE} AS segment_id, (row_number() OVER (ORDER BY ts, seq) - 1) % {SEGMENT_SIZE} AS position FROM log)"
@@ -282,8 +357,9 @@ def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {LATEST} SELECT * FROM snap")
 def stream_snapshot(spark, sf_dir):
     root = f"{checkpoint_root(spark)}/stream-{uuid.uuid4().hex}"
-    live.materialize(_streamed(spark, sf_dir), f"{root}/out", f"{root}/state").awaitTermination()
-    return spark.read.parquet(f"{root}/out").filter(resolve.live()).select("key", "value", "ts", "seq")
+    store = runs.RunStore(spark, f"{root}/out")
+    live.materialize(_streamed(spark, sf_dir), store, f"{root}/state").awaitTermination()
+    return resolve.snapshot(store.read())
 
 
 @query(f"WITH {LATEST} SELECT * FROM snap")
@@ -523,6 +599,16 @@ def dictionary_decode(spark, sf_dir):
     return dictionary.decode(dictionary.encode(rows, ids), ids)
 
 
+@query(f"WITH dict AS ({DICT_SQL}) SELECT id, key FROM dict")
+def dictionary_persisted(spark, sf_dir):
+    """Ids given in two rounds, the second of which appends new keys alone."""
+    held = DictionaryStore(spark, f"{checkpoint_root(spark)}/dictionary-{uuid.uuid4().hex}")
+    rows = log(spark, sf_dir)
+    held.update(rows.filter(F.col("ts") <= F.lit(str(AS_OF)).cast("timestamp_ntz")))
+    held.update(rows)
+    return held.read()
+
+
 @query(f"""WITH RECURSIVE secs AS (SELECT user_id AS bucket, floor(epoch(ts))::BIGINT AS second, count(*) AS requests FROM events GROUP BY 1, 2),
 steps AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY second) AS n FROM secs),
 fold AS (

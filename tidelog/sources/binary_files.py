@@ -22,19 +22,27 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import batched
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidelog.session import cut_lineage, ship
+
+# The layouts of headers.
 _RUN = struct.Struct("<I8s8xBQQ")
 _LOG = struct.Struct("<I8s8xBBQQ")
 _PREFIX = struct.Struct("<I16sB")
 _OFFSETS = struct.Struct("<6Q")
 _SEGMENT_HEADER = 7
+_FULL, _FIRST, _MIDDLE, _LAST = range(4)
 
 RECORD = "path string, position long, ts long, tombstone boolean, key binary, key_id long, value binary"
-FRAGMENT = "segment long, position long, kind int, ts long, tombstone boolean, key binary, value binary"
+#: What a segment yields: whole records, and pieces of records that reach over its borders (open: the record goes on in the next segment; late: it began in an earlier one).
+PIECE = "segment long, position long, open boolean, late boolean, ts long, tombstone boolean, key binary, value binary"
+#: Rows that a worker turns to Arrow at once.
+SLICE = 5000
 
 
 def _uvarint(data: bytes, at: int) -> tuple[int, int]:
@@ -93,6 +101,39 @@ def log_fragments(data: bytes, block: int) -> Iterator[tuple]:
             at = stop
 
 
+def log_pieces(data: bytes, block: int) -> Iterator[tuple]:
+    """(position, open, late, ts, tombstone, key, value) of a segment's records and of the pieces of those that reach over its borders.
+
+    The fragments of a record follow one another without a gap: each later one starts the very next block,
+    with the same time stamp and tombstone.  What breaks off is left out.
+    """
+    last_block = (len(data) - 1) // block
+    # What goes on: (position, late, ts, tombstone, keys, values, block of the last fragment).
+    held: list | None = None
+    for position, kind, ts, gone, key, value in log_fragments(data, block):
+        at = position // block
+        starts = position == at * block + (0 if at else _SEGMENT_HEADER)
+        if kind in (_MIDDLE, _LAST):
+            if held and starts and at == held[6] + 1 and (ts, gone) == (held[2], held[3]):
+                held[4].append(key)
+                held[5].append(value)
+                held[6] = at
+            else:
+                # A record that began in an earlier segment goes on in the first block.
+                held = [position, True, ts, gone, [key], [value], at] if starts and not at else None
+            if held and kind == _LAST:
+                yield held[0], False, held[1], ts, gone, b"".join(held[4]), b"".join(held[5])
+                held = None
+        elif kind == _FIRST:
+            held = [position, False, ts, gone, [key], [value], at]
+        else:
+            held = None
+            if kind == _FULL:
+                yield position, False, False, ts, gone, key, value
+    if held and held[6] == last_block:
+        yield held[0], True, held[1], held[2], held[3], b"".join(held[4]), b"".join(held[5])
+
+
 def dictionary_entries(data: bytes) -> Iterator[tuple[int, bytes]]:
     at = 0
     while at < len(data) and data[at]:
@@ -111,10 +152,10 @@ def _decoded(files: DataFrame, decode, schema: str) -> DataFrame:
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                found = list(decode(path, content))
-                if found:
+                for found in batched(decode(path, content), SLICE):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], names=names)
 
+    ship(files.sparkSession)
     return files.select("path", "content").mapInArrow(rows, schema)
 
 
@@ -149,20 +190,30 @@ def read_runs(spark: SparkSession, folder: str, single: bool = True, dictionary:
 
 
 def read_log(spark: SparkSession, folder: str, block: int) -> DataFrame:
-    """The mutations of a log's segments, put together from their fragments; records with a fragment missing are left out."""
+    """The mutations of a log's segments, put together from their fragments; records with a fragment missing are left out.
+
+    Records are put together where their segment is read.  Only pieces that reach over the borders of
+    segments meet others: one that is open goes on in the next segment's late one, if its time stamp is the same.
+    """
 
     def decode(path: str, data: bytes) -> Iterator[tuple]:
         segment = int.from_bytes(data[3:_SEGMENT_HEADER], "little") if data[:3] == b"WAL" else 0
-        for position, *rest in log_fragments(data, block):
-            yield segment, position, *rest
-
-    parts = _decoded(_files(spark, folder, "*.log"), decode, FRAGMENT)
-    place = F.struct("segment", "position", "kind", "key", "value")
-    # A record's fragments share its time stamp and follow one another.
-    whole = parts.filter("kind = 0").select("segment", "position", "ts", "tombstone", "key", "value")
-    grouped = parts.filter("kind <> 0").groupBy("ts", "tombstone").agg(F.array_sort(F.collect_list(place)).alias("parts"))
+        for piece in log_pieces(data, block):
+            yield segment, *piece
+
+    pieces = _decoded(_files(spark, folder, "*.log"), decode, PIECE)
+    whole = pieces.filter("not open and not late")
+    edges = cut_lineage(pieces.filter("open or late"))
+    # The numbers of segments alone show which pieces belong together: a chain begins where a piece is not late, or doesn't go on from the segment before.
+    order = Window.orderBy("segment", "position")
+    before = lambda name: F.lag(name).over(order)
+    goes_on = F.col("late") & before("open") & (before("segment") == F.col("segment") - 1) & (before("ts") == F.col("ts")) & (before("tombstone") == F.col("tombstone"))
+    links = edges.select("segment", "position", "late", "open", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1).alias("begins"))
+    chains = links.select("segment", "position", F.sum("begins").over(order).alias("chain"))
+    held = edges.join(chains, ["segment", "position"])
+    grouped = held.groupBy("chain").agg(F.array_sort(F.collect_list(F.struct("segment", "position", "open", "late", "ts", "tombstone", "key", "value"))).alias("parts"))
     first, last = F.element_at("parts", 1), F.element_at("parts", -1)
     joined = lambda name: F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p[name])), ""))
-    cut = grouped.filter((first["kind"] == 1) & (last["kind"] == 3)).select(first["segment"].alias("segment"), first["position"].alias("position"), "ts", "tombstone", joined("key").alias("key"), joined("value").alias("value"))
-    rows = whole.unionByName(cut).withColumn("key", F.decode("key", "UTF-8"))
+    cut = grouped.filter(~first["late"] & ~last["open"]).select(first["segment"].alias("segment"), first["position"].alias("position"), first["ts"].alias("ts"), first["tombstone"].alias("tombstone"), joined("key").alias("key"), joined("value").alias("value"))
+    rows = whole.select(*cut.columns).unionByName(cut).withColumn("key", F.decode("key", "UTF-8"))
     return _mutations(rows.withColumn("position", F.shiftleft("segment", 32) + F.col("position")))
