@@ -32,9 +32,14 @@ STOP_WORDS = [
 BITS = 64
 
 
+def cleaned(text: Column) -> Column:
+    """A text's lower-cased letters and white space, all else taken out."""
+    return F.regexp_replace(F.lower(text), r"[^\p{L}\s]", "")
+
+
 def clean_words(text: Column) -> Column:
     """The words of a text as an array: lower-cased letters between white space, all else taken out."""
-    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\s]", ""), r"\s+"), lambda w: w != "")
+    return F.filter(F.split(cleaned(text), r"\s+"), lambda w: w != "")
 
 
 def without_stop_words(words: Column) -> Column:
@@ -72,35 +77,40 @@ def _summed(bits: np.ndarray, ends: np.ndarray) -> np.ndarray:
         part = np.unpackbits(bits[at : at + PIECE].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
         # Rows that have words in this piece; those without any share a start with the next one.
         rows = np.flatnonzero((starts < at + len(part)) & (ends > at) & (ends > starts))
-        ones[rows] += np.add.reduceat(part, np.maximum(starts[rows] - at, 0), axis=0, dtype=np.int64)
+        ones[rows] += np.add.reduceat(part, np.maximum(starts[rows] - at, 0), axis=0, dtype=np.int32)
     over = 2 * ones > (ends - starts)[:, None]
     return np.packbits(over, axis=1).view(">u8").ravel().astype(np.uint64).view(np.int64)
 
 
 def _fingerprinted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str, int] = {}
+    known: dict[str, int | None] = dict.fromkeys(("", *STOP_WORDS))
     for batch in batches:
-        words = batch.column("words")
-        lists = pc.fill_null(pc.list_value_length(words), 0).to_numpy().astype(np.int64)
+        # A cleaned text has no white space beyond ASCII.
+        words = pc.ascii_split_whitespace(batch.column("cleaned"))
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(words), 0).to_numpy(), dtype=np.int64)
         coded = pc.list_flatten(words).dictionary_encode()
         if len(known) > CACHED_WORDS:
-            known.clear()
+            known = dict.fromkeys(("", *STOP_WORDS))
         distinct = coded.dictionary.to_pylist()
         for w in distinct:
             if w not in known:
                 known[w] = word_bits(w)
-        bits = np.array([known[w] for w in distinct], dtype=np.uint64)[coded.indices.to_numpy()] if distinct else np.zeros(0, dtype=np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_summed(bits, np.cumsum(lists)), pa.int64())], names=["doc_id", "fingerprint"])
+        held = [known[w] for w in distinct]
+        at = coded.indices.to_numpy()
+        counted = np.array([x is not None for x in held], dtype=bool)[at] if held else np.zeros(0, dtype=bool)
+        bits = np.array([x or 0 for x in held], dtype=np.uint64)[at[counted]]
+        ends = np.r_[0, np.cumsum(counted)][ends]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_summed(bits, ends), pa.int64())], names=["doc_id", "fingerprint"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and fingerprint of every row of docs; 0 for a text without words.
 
-    A bit is set if more than half of the text's words, repeats included, have it.  A row's
-    words are folded where the row is, so nothing is shuffled and rows may share an id or have none.
+    A bit is set if more than half of the text's words, repeats included and stop words left out, have it.
+    A row's words are folded where the row is, so nothing is shuffled and rows may share an id or have none.
     """
     ship(docs.sparkSession)
-    rows = docs.select("doc_id", without_stop_words(clean_words(F.col("text"))).alias("words"))
+    rows = docs.select("doc_id", cleaned(F.col("text")).alias("cleaned"))
     return rows.mapInArrow(_fingerprinted, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fingerprint long")
 
 

@@ -114,10 +114,10 @@ def root(run: DataFrame, block: int) -> DataFrame:
 
 
 def roots(nodes: DataFrame, by: str, most: int) -> DataFrame:
-    """by and root of each group's leaves (part, block, hash), of which a group has ``most`` at most."""
+    """by, n and root of each group's leaves (part, block, hash), of which a group has ``most`` at most."""
     listed = F.transform(F.array_sort(F.collect_list(F.struct("part", "block", "hash"))), lambda x: x["hash"])
     lists = nodes.groupBy(by).agg(listed.alias("n0"))
-    return folded(lists, depth(most), pad=False).select(by, F.get(f"n{depth(most)}", F.lit(0)).alias("root"))
+    return folded(lists, depth(most), pad=False).select(by, F.size("n0").cast("long").alias("n"), F.get(f"n{depth(most)}", F.lit(0)).alias("root"))
 
 
 def differing(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -18,10 +18,9 @@ from tidelog.model import MUTATION
 from tidelog.operators import integrity
 from tidelog.operators.ordering import with_row_index
 from tidelog.operators.resolve import newest
-from tidelog.session import cut_lineage
 
 MANIFEST = "run string, level int, min_key string, max_key string, records long, tombstones long, newest_ts string, created long, path string, leaves long, root string, filter binary, source string"
-LEAVES = "run string, part long, block long, hash string, root string"
+LEAVES = "run string, part long, block long, hash string"
 #: A run's filter is kept in the manifest up to so many bits (64 KB); a larger run has Parquet's own filters alone.
 FILTER_BITS, FALSE_POSITIVES = 1 << 19, 0.01
 #: Records of a block whose hash is kept.
@@ -111,8 +110,11 @@ class RunStore:
         version = max(self._versions(), default=-1) + 1
         self.spark.createDataFrame([tuple(r) for r in rows], MANIFEST).coalesce(1).write.parquet(f"{self.path}/manifest/v{version}")
 
-    def write(self, mutations: DataFrame, level: int = 0, horizon=None, source: str | None = None) -> tuple | None:
-        """Writes one run (the newest mutation of every key, without tombstones before horizon) and returns its manifest row, or None if nothing is left to write."""
+    def write(self, mutations: DataFrame, level: int = 0, horizon=None, source: str | None = None, created: int | None = None) -> tuple | None:
+        """Writes one run (the newest mutation of every key, without tombstones before horizon) and returns its manifest row, or None if nothing is left to write.
+
+        created is the run's place in the order of runs, behind all listed ones unless it is given.
+        """
         run = uuid.uuid4().hex
         path = f"{self.path}/runs/{run}"
         rows = newest(mutations)
@@ -125,22 +127,20 @@ class RunStore:
         if not told["records"]:
             return None
         leaves, root = self._write_leaves(held.withColumn("run", F.lit(run)), run, told["records"])
-        created = max((r["created"] for r in self.manifest()), default=0) + 1
+        if created is None:
+            created = max((r["created"] for r in self.manifest()), default=0) + 1
         bloom = Bloom.sized(told["records"], FALSE_POSITIVES)
         filter_ = packed(bloom, _words(bloom, held.select("key")).collect()) if bloom.m <= FILTER_BITS else None
         return run, level, *told, created, path, leaves, root, filter_, source
 
     def _write_leaves(self, held: DataFrame, run: str, records: int) -> tuple[int, str]:
         """Writes the leaves of one run; returns their number and the root."""
-        leaves = cut_lineage(self._leaves(held))
+        self._leaves(held).write.parquet(f"{self.path}/leaves/{run}")
+        leaves = self.spark.read.schema(LEAVES).parquet(f"{self.path}/leaves/{run}")
         if records <= integrity.FAN_OUT:
-            rooted = leaves.join(F.broadcast(integrity.roots(leaves, "run", integrity.FAN_OUT)), "run")
-        else:
-            numbered = with_row_index(leaves, "part", "block", name="idx").select("idx", "hash")
-            rooted = leaves.withColumn("root", F.lit(integrity.root_of(numbered).first()["root"]))
-        rooted.select(*[c.split()[0] for c in LEAVES.split(", ")]).write.parquet(f"{self.path}/leaves/{run}")
-        told = self.spark.read.schema(LEAVES).parquet(f"{self.path}/leaves/{run}").agg(F.count("*"), F.first("root")).first()
-        return told[0], told[1]
+            return tuple(integrity.roots(leaves, "run", integrity.FAN_OUT).first()[1:])
+        numbered = with_row_index(leaves, "part", "block", name="idx").select("idx", "hash")
+        return leaves.count(), integrity.root_of(numbered).first()["root"]
 
     def _leaves(self, held: DataFrame) -> DataFrame:
         return integrity.stored_leaves(held.withColumnRenamed(_PLACE, "place"), self.block, "run")
@@ -160,27 +160,28 @@ class RunStore:
             return
         most = max(t[2] for t in told.values())
         named = held.withColumn("run", F.concat(F.lit(f"{folder}/flush_id="), F.col("flush_id").cast("string")))
-        leaves = cut_lineage(self._leaves(named))
-        rooted = leaves.join(integrity.roots(leaves, "run", -(-most // self.block)), "run")
-        rooted.select(*[c.split()[0] for c in LEAVES.split(", ")]).write.parquet(f"{self.path}/leaves/{folder}")
-        roots = {r["run"]: (r["n"], r["root"]) for r in self.spark.read.schema(LEAVES).parquet(f"{self.path}/leaves/{folder}").groupBy("run").agg(F.count("*").alias("n"), F.first("root").alias("root")).collect()}
+        self._leaves(named).write.parquet(f"{self.path}/leaves/{folder}")
+        leaves = self.spark.read.schema(LEAVES).parquet(f"{self.path}/leaves/{folder}")
+        roots = {r["run"]: (r["n"], r["root"]) for r in integrity.roots(leaves, "run", -(-most // self.block)).collect()}
         bloom, words = Bloom.sized(most, FALSE_POSITIVES), {}
         if bloom.m <= FILTER_BITS:
             listed = _words(bloom, held.select("flush_id", "key"), "flush_id").groupBy("flush_id").agg(F.collect_list(F.struct("word", "value")).alias("words"))
             words = {r["flush_id"]: packed(bloom, r["words"]) for r in listed.toLocalIterator()}
-        first = max((r["created"] for r in self.manifest()), default=0) + 1
-        new = []
+        listed = self.manifest()
+        first, new = max((r["created"] for r in listed), default=0) + 1, []
         for at, (flush_id, stats) in enumerate(sorted(told.items())):
             run = f"{folder}/flush_id={flush_id}"
             new.append((run, level, *stats, first + at, f"{self.path}/runs/{run}", *roots[run], words.get(flush_id), None))
-        self.commit([*self.manifest(), *new])
+        self.commit([*listed, *new])
 
     def append(self, mutations: DataFrame, level: int = 0, source: str | None = None) -> None:
         """Writes one run and lists it. If a listed run has the same source (a name for what it was made from), nothing is written."""
-        if source is not None and any(r["source"] == source for r in self.manifest()):
+        listed = self.manifest()
+        if source is not None and any(r["source"] == source for r in listed):
             return
-        if (row := self.write(mutations, level, source=source)) is not None:
-            self.commit([*self.manifest(), row])
+        created = max((r["created"] for r in listed), default=0) + 1
+        if (row := self.write(mutations, level, source=source, created=created)) is not None:
+            self.commit([*listed, row])
 
     def runs_for(self, low: str | None = None, high: str | None = None, key: str | None = None) -> list[Row]:
         """The runs whose key range meets low to high (None: open), and whose filter lets key pass if one is given."""
@@ -226,7 +227,7 @@ class RunStore:
     def _bad_roots(self, kept: DataFrame, listed: DataFrame) -> DataFrame:
         """The runs whose kept hashes are not all there or have another root, found by making the roots anew."""
         small = listed.filter(F.col("n") <= integrity.FAN_OUT)
-        made = integrity.roots(kept.join(F.broadcast(small.select("run")), "run", "left_semi"), "run", integrity.FAN_OUT)
+        made = integrity.roots(kept.join(F.broadcast(small.select("run")), "run", "left_semi"), "run", integrity.FAN_OUT).drop("n")
         for row in listed.filter(F.col("n") > integrity.FAN_OUT).collect():  # few: each has more than FAN_OUT blocks
             numbered = with_row_index(kept.filter(F.col("run") == row["run"]), "part", "block", name="idx").select("idx", "hash")
             made = made.unionByName(integrity.root_of(numbered).select(F.lit(row["run"]).alias("run"), "root"))
