@@ -8,7 +8,7 @@ import pytest
 from tidelog import queries
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-TABLES = "customer lineitem events documents".split()
+TABLES = "customer lineitem events documents nation".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the test tables are not here")
 
 

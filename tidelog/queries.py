@@ -486,16 +486,6 @@ def hll_merge(spark, sf_dir):
     return hll.merge(hll.registers(rows.filter(even), PRECISION), hll.registers(rows.filter(~even), PRECISION))
 
 
-@query()
-def native_hll(spark, sf_dir):
-    return parts(spark, sf_dir).agg(F.hll_sketch_estimate(F.hll_sketch_agg("element", 12)).alias("estimate"), F.approx_count_distinct("element").alias("approximate"))
-
-
-@query()
-def native_cms(spark, sf_dir):
-    return parts(spark, sf_dir).agg(F.length(F.count_min_sketch(F.col("element"), F.lit(0.01), F.lit(0.99), F.lit(1))).alias("bytes"))
-
-
 # Texts.
 
 STOPS = ", ".join("'" + w.replace("'", "''") + "'" for w in text.STOP_WORDS)
@@ -641,3 +631,6 @@ def tokenize_args(spark, sf_dir):
 @query("""SELECT event_id, CASE WHEN regexp_matches(props, '[ \\t"]') THEN '"' || replace(props, '"', '\\"') || '"' ELSE props END AS quoted FROM events""")
 def quote_output(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", text.quoted(F.col("props")).alias("quoted"))
+
+
+from tidelog import engine_queries  # noqa: E402, F401  (registers its queries, made of what stands above)
