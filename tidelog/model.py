@@ -52,7 +52,7 @@ def mutations_from_events(events: DataFrame, fine: bool = False) -> DataFrame:
     return events.select(key.alias("key"), value.alias("value"), "ts", F.col("event_id").alias("seq"), gone.alias("tombstone"))
 
 
-#: The same in DuckDB SQL, for ids of up to six digits: its lpad cuts longer ones.
-EVENTS_SQL = """SELECT 'u' || lpad(user_id::VARCHAR, 6, '0') AS key, CASE WHEN event_type <> 'error' THEN event_type || ':' || event_id END AS value,
+#: The same in DuckDB SQL.
+EVENTS_SQL = """SELECT 'u' || lpad(user_id::VARCHAR, greatest(6, length(user_id::VARCHAR))::INT, '0') AS key, CASE WHEN event_type <> 'error' THEN event_type || ':' || event_id END AS value,
        ts, event_id AS seq, event_type = 'error' AS tombstone FROM events"""
 FINE_SQL = EVENTS_SQL.replace("'0') AS key", "'0') || ':' || event_type AS key")

@@ -124,7 +124,7 @@ def kv_get_missing(spark, sf_dir):
     return scan.get(log(spark, sf_dir), "nobody")
 
 
-@query(f"WITH {LATEST}, wanted AS (SELECT DISTINCT 'u' || lpad(c_custkey::VARCHAR, 6, '0') AS key FROM customer) SELECT w.key, s.key IS NOT NULL AS found, s.value FROM wanted w LEFT JOIN snap s ON w.key = s.key")
+@query(f"WITH {LATEST}, wanted AS (SELECT DISTINCT 'u' || lpad(c_custkey::VARCHAR, greatest(6, length(c_custkey::VARCHAR))::INT, '0') AS key FROM customer) SELECT w.key, s.key IS NOT NULL AS found, s.value FROM wanted w LEFT JOIN snap s ON w.key = s.key")
 def kv_multi_get(spark, sf_dir):
     keys = table(spark, sf_dir, "customer").select(user_key(F.col("c_custkey")).alias("key"))
     return scan.multi_get(log(spark, sf_dir), keys)
@@ -524,9 +524,10 @@ def simhash_fingerprint(spark, sf_dir):
 @query(f"WITH prints AS ({PRINTS_SQL}) SELECT p.doc_id, bit_count(xor(p.fingerprint, q.fingerprint))::INT AS distance FROM prints p, prints q WHERE q.doc_id = 0")
 def simhash_distance(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    one = text.fingerprints(docs.filter("doc_id = 0")).select(F.col("fingerprint").alias("other"))
-    # One row is broadcast: doc_id is a key.
-    return text.fingerprints(docs).crossJoin(F.broadcast(one)).select("doc_id", text.distance(F.col("fingerprint"), F.col("other")).alias("distance"))
+    # One row, whatever ids repeat.
+    one = text.fingerprints(docs.filter("doc_id = 0")).agg(F.min("fingerprint").alias("other")).withColumn("one", F.lit(1))
+    told = text.fingerprints(docs).withColumn("one", F.lit(1)).join(F.broadcast(one), "one")
+    return told.select("doc_id", text.distance(F.col("fingerprint"), F.col("other")).alias("distance"))
 
 
 @query(f"WITH prints AS (SELECT DISTINCT fingerprint FROM ({PRINTS_SQL})) SELECT p.fingerprint AS a, q.fingerprint AS b, bit_count(xor(p.fingerprint, q.fingerprint))::INT AS distance FROM prints p, prints q WHERE p.fingerprint < q.fingerprint AND bit_count(xor(p.fingerprint, q.fingerprint)) <= {NEAR}")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -12,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 def session(name: str = "tidelog", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     """A session with adaptive execution in UTC; on a cluster the master and sizes come from its own configuration."""
     builder = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
+    # Checkpoints go with the last reference to them.
+    builder = builder.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if master:
         builder = builder.master(master)
     if shuffle_partitions:
@@ -48,6 +52,7 @@ def checkpoint_root(spark: SparkSession) -> str:
         if not context.master.startswith("local[") and context.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="tidelog-checkpoint-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
     context.setCheckpointDir(configured)
     return configured
 
