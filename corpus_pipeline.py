@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tidelog.llm import language, lines, packing, secrets, simhash
-from tidelog.llm.common import checkpoint_root, documents, ship
+from tidelog.llm.common import checkpoint_root, documents, remove, ship
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,11 +71,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's result is kept as Parquet in the shared checkpoint folder."""
+    """All stages over documents; each stage's result is kept as Parquet in the shared checkpoint folder until the next one's is complete."""
     root = f"{checkpoint_root(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{root}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs

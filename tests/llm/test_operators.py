@@ -411,6 +411,45 @@ def test_forest_sets_strangers_apart():
     assert forest.scores(np.array([[9.0, 9.0, 9.0]]))[0] > forest.scores(rows).max() - 0.05
 
 
+def test_scores_are_of_paths_walked_one_by_one():
+    rng = np.random.default_rng(2)
+    rows = rng.normal(0, 1, (300, 3))
+    forest = quality.IsolationForest(rows, np.full(3, -5.0), np.full(3, 5.0))
+    for row, score in zip(rows[:20], forest.scores(rows[:20]), strict=True):
+        total = 0.0
+        for tree in range(quality.TREES):
+            node = 0
+            while forest.feature[tree, node] >= 0:
+                node = 2 * node + 1 + int(row[forest.feature[tree, node]] >= forest.value[tree, node])
+            total += forest.path[tree, node]
+        assert abs(score - 2 ** (-total / quality.TREES / forest.usual)) < 1e-9
+    assert abs(forest.usual - (2 * sum(1 / k for k in range(1, 256)) - 2 * 255 / 256)) < 0.01
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 40), st.integers(0, 5), st.integers(0, 5)), min_size=1, max_size=12, unique_by=lambda b: b[0]))
+def test_threshold_costs_least(bins):
+    bins = [(50 * k, g, b) for k, g, b in bins]
+    good, bad = max(1, sum(g for _, g, _ in bins)), max(1, sum(b for *_, b in bins))
+    cost = lambda k: quality.GOOD_WEIGHT * sum(g for at, g, _ in bins if at >= k) / good + sum(b for at, _, b in bins if at < k) / bad
+    found = round(quality.threshold(bins) * quality.BINS)
+    assert cost(found) <= min(map(cost, range(0, quality.BINS + 2, 25))) + 1e-9
+
+
+def test_kept_is_the_forest_s_verdict(spark, table):
+    """Of rows that pass the base rules those below one score stay, and that score is the cheapest on the labelled ones."""
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    found = [r for r in quality.judge(table, labels).collect() if not r["base_failed"]]
+    kept, gone = [r["score"] for r in found if r["kept"]], [r["score"] for r in found if not r["kept"]]
+    assert not gone or max(kept) < min(gone)
+    quality_of = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    told = [(quality_of[r["doc_id"]], r["score"], r["kept"]) for r in found if quality_of.get(r["doc_id"]) is not None]
+    good, bad = sum(q == 1 for q, *_ in told) or 1, sum(q != 1 for q, *_ in told) or 1
+    cost = lambda keeps: quality.GOOD_WEIGHT * sum(q == 1 and not k for (q, *_), k in zip(told, keeps, strict=True)) / good + sum(q != 1 and k for (q, *_), k in zip(told, keeps, strict=True)) / bad
+    chosen = cost([k for *_, k in told])
+    assert all(chosen <= cost([score < limit / quality.BINS for _, score, _ in told]) + 1e-9 for limit in range(quality.BINS + 1))
+
+
 # Secrets.
 
 

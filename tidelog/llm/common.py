@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidelog.session import checkpoint_root, cut_lineage, ship
 
-__all__ = ["checkpoint_root", "cut_by", "cut_lineage", "documents", "pages", "ship", "sliced", "texts_of"]
+__all__ = ["checkpoint_root", "cut_by", "cut_lineage", "documents", "pages", "remove", "ship", "sliced", "texts_of"]
 
 #: Text bytes that a worker turns into Python objects at once.
 SLICE_BYTES = 4 << 20
@@ -45,3 +45,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/pages.parquet")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of intermediate results."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
