@@ -19,6 +19,8 @@ class Config:
     merkle_block: int = 128
     compaction: str = "size_tiered"
     max_count_in_level: int = 5
+    #: Whether a run is one file, however many records it has.
+    single_file: bool = False
     #: Seconds for which compacted runs and old manifests stay, for readers that opened them.
     retention: int = 3600
 
@@ -27,7 +29,7 @@ class Config:
             raise ValueError(f"unknown compaction {self.compaction!r}")
         for f in fields(self):
             value = getattr(self, f.name)
-            if isinstance(value, int) and value < 1:
+            if isinstance(value, int) and not isinstance(value, bool) and value < 1:
                 raise ValueError(f"{f.name} starts at 1")
 
 
@@ -42,10 +44,11 @@ NAMES = {
     "BlockSize": "merkle_block",
     "CompactionAlgorithm": "compaction",
     "MaxCountInLevel": "max_count_in_level",
+    "SSTableSingleFile": "single_file",
     "RetentionSeconds": "retention",
 }
 #: Settings of structures that Spark and Parquet have themselves.
-ACCEPTED = {"MemtableStruct", "SkipListLevelNum", "BTreeDegree", "BlockCacheSize", "WalBlocksPerSegment", "SummaryStep", "SSTableSingleFile", "SSTableCompression"}
+ACCEPTED = {"MemtableStruct", "SkipListLevelNum", "BTreeDegree", "BlockCacheSize", "WalBlocksPerSegment", "SummaryStep", "SSTableCompression"}
 COMPACTIONS = {"SizeTiered": "size_tiered", "Leveled": "leveled"}
 
 

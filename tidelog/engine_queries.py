@@ -21,6 +21,7 @@ from tidelog.queries import (
     CELLS_SQL,
     FINE,
     INTERVAL,
+    LATEST,
     PARTS,
     PRECISION,
     PRINTS_SQL,
@@ -36,6 +37,7 @@ from tidelog.queries import (
     cms_cells,
     elements,
     hll_registers,
+    log,
     parts,
     query,
     stored,
@@ -62,10 +64,10 @@ def values(rows: list[tuple], *names: str) -> str:
 SETTINGS = '{"MaxMemtableSize": 7, "TokenRate": 9, "CompactionAlgorithm": "Leveled", "BlockSize": 64, "SummaryStep": 4, "SSTableSingleFile": true}'
 
 
-@query(values([("max_memtable_size", "7"), ("token_rate", "9"), ("compaction", "leveled"), ("merkle_block", "64"), ("memtable_num", "2")], "name", "value"))
+@query(values([("max_memtable_size", "7"), ("token_rate", "9"), ("compaction", "leveled"), ("merkle_block", "64"), ("memtable_num", "2"), ("single_file", "True")], "name", "value"))
 def config_settings(spark, sf_dir):
     found = config.parse(SETTINGS)
-    return spark.createDataFrame([(n, str(getattr(found, n))) for n in ("max_memtable_size", "token_rate", "compaction", "merkle_block", "memtable_num")], "name string, value string")
+    return spark.createDataFrame([(n, str(getattr(found, n))) for n in ("max_memtable_size", "token_rate", "compaction", "merkle_block", "memtable_num", "single_file")], "name string, value string")
 
 
 SESSION = [
@@ -166,7 +168,7 @@ def range_pruning(spark, sf_dir):
     return spark.createDataFrame([(len(store.manifest()), len(opened))], "runs long, opened long")
 
 
-@query(f"WITH {FINE} SELECT true AS held_opened, true AS few_opened")
+@query("SELECT true AS held_opened, true AS few_opened")
 def filter_pruning(spark, sf_dir):
     """Whether the filters let every run pass that holds a key, and of keys that no run holds few."""
     store = stored(spark, sf_dir)
@@ -176,6 +178,15 @@ def filter_pruning(spark, sf_dir):
     return spark.createDataFrame([(firsts, absent <= 0.05 * 200 * len(rows))], "held_opened boolean, few_opened boolean")
 
 
+@query(f"WITH {LATEST} SELECT 1::BIGINT AS files, count(*) AS records, min(key) AS min_key, max(key) AS max_key FROM newest")
+def single_file_run(spark, sf_dir):
+    store = runs.RunStore(spark, fresh(spark, "single"), single_file=True)
+    store.append(log(spark, sf_dir))
+    (row,) = store.manifest()
+    files = len(store.open([row["path"]]).inputFiles())
+    return spark.createDataFrame([(files, row["records"], row["min_key"], row["max_key"])], "files long, records long, min_key string, max_key string")
+
+
 @query(values([(0, "m", "z"), (1, "a", "c")], "level", "min_key", "max_key"))
 def level_move(spark, sf_dir):
     """A run that meets no other moves down a level as it is."""
@@ -232,6 +243,35 @@ def hll_saved(spark, sf_dir):
     return hll.load(spark, store.load("hll", "parts")[0])[1]
 
 
+@query(_registers_sql(PARTS, PRECISION))
+def hll_file(spark, sf_dir):
+    """Registers saved, written to a file, read from it under another name."""
+    store, path = SketchStore(spark, fresh(spark, "sketches")), fresh(spark, "file")
+    store.save("hll", "parts", hll.dump(hll_registers(spark, sf_dir), PRECISION))
+    store.write_file("hll", "parts", path)
+    store.read_file("hll", "again", path)
+    return hll.load(spark, store.load("hll", "again")[0])[1]
+
+
+@query(CELLS_SQL)
+def cms_file(spark, sf_dir):
+    store, path = SketchStore(spark, fresh(spark, "sketches")), fresh(spark, "file")
+    store.save("cms", "parts", SKETCH.dump(cms_cells(spark, sf_dir)))
+    store.write_file("cms", "parts", path)
+    store.read_file("cms", "again", path)
+    return cms.CountMin.load(spark, store.load("cms", "again")[0])[1]
+
+
+@query(values([(0, 2), (1, 0)], "step", "estimate"))
+def hll_reset(spark, sf_dir):
+    store = Store(spark, fresh(spark, "store"))
+    store.hll_create("h", 6)
+    store.hll_add("h", "a", "b", "a")
+    told = [(0, round(store.hll_count("h")))]
+    store.hll_reset("h")
+    return spark.createDataFrame([*told, (1, round(store.hll_count("h")))], "step int, estimate int")
+
+
 @query(values([(kind, n, there) for kind in ("bloom", "cms", "hll", "simhash") for n, there in enumerate((False, True, False, True))], "kind", "step", "there"))
 def sketches_deleted(spark, sf_dir):
     """Whether a sketch is there before it is saved, then, after its deletion and when it is saved again."""

@@ -80,8 +80,8 @@ class RunStore:
     the newest complete one, so a write that fails half-way is never seen.
     """
 
-    def __init__(self, spark: SparkSession, path: str, block: int = BLOCK):
-        self.spark, self.path, self.block = spark, path.rstrip("/"), block
+    def __init__(self, spark: SparkSession, path: str, block: int = BLOCK, single_file: bool = False):
+        self.spark, self.path, self.block, self.single_file = spark, path.rstrip("/"), block, single_file
 
     def _fs(self, path: str):
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -120,7 +120,9 @@ class RunStore:
         rows = newest(mutations)
         if horizon is not None:
             rows = rows.filter(~F.col("tombstone") | (F.col("ts") >= horizon))
-        dealt = rows.repartitionByRange("key").sortWithinPartitions("key").withColumn(_PLACE, F.monotonically_increasing_id())
+        # One file takes one task, so that it is for small runs or for who asks for it.
+        ranged = rows.repartition(1) if self.single_file else rows.repartitionByRange("key")
+        dealt = ranged.sortWithinPartitions("key").withColumn(_PLACE, F.monotonically_increasing_id())
         dealt.write.option("parquet.bloom.filter.enabled#key", "true").parquet(path)
         held = self.spark.read.schema(dealt.schema).parquet(path)
         told = held.agg(*_told()).first()

@@ -39,3 +39,19 @@ class SketchStore:
         rows = self.spark.read.schema(SCHEMA).parquet(self.path).filter((F.col("kind") == kind) & (F.col("name") == name))
         row = rows.orderBy(F.col("ts").desc()).first()
         return None if row is None or row["tombstone"] else (bytes(row["payload"]), json.loads(row["params"]))
+
+    def write_file(self, kind: str, name: str, path: str) -> None:
+        """The newest bytes of a sketch as a file of their own."""
+        held = self.load(kind, name)
+        if held is None:
+            raise KeyError(f"no {kind} {name!r}")
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        out = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(hadoop, True)
+        try:
+            out.write(held[0])
+        finally:
+            out.close()
+
+    def read_file(self, kind: str, name: str, path: str) -> None:
+        """Saves a file's bytes under a name."""
+        self.save(kind, name, bytes(self.spark.read.format("binaryFile").load(path).first()["content"]))
