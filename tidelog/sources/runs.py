@@ -23,6 +23,8 @@ MANIFEST = "run string, level int, min_key string, max_key string, records long,
 LEAVES = "run string, part long, block long, hash string"
 #: A run's filter is kept in the manifest up to so many bits (64 KB); a larger run has Parquet's own filters alone.
 FILTER_BITS, FALSE_POSITIVES = 1 << 19, 0.01
+#: Parquet's filters on the key, as large as a row group's keys need.
+KEY_FILTER = {"parquet.bloom.filter.enabled#key": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
 #: Records of a block whose hash is kept.
 BLOCK = 128
 _PLACE = "_place"
@@ -123,7 +125,7 @@ class RunStore:
         # One file takes one task, so that it is for small runs or for who asks for it.
         ranged = rows.repartition(1) if self.single_file else rows.repartitionByRange("key")
         dealt = ranged.sortWithinPartitions("key").withColumn(_PLACE, F.monotonically_increasing_id())
-        dealt.write.option("parquet.bloom.filter.enabled#key", "true").parquet(path)
+        dealt.write.options(**KEY_FILTER).parquet(path)
         held = self.spark.read.schema(dealt.schema).parquet(path)
         told = held.agg(*_told()).first()
         if not told["records"]:
@@ -139,8 +141,10 @@ class RunStore:
         """Writes the leaves of one run; returns their number and the root."""
         self._leaves(held).write.parquet(f"{self.path}/leaves/{run}")
         leaves = self.spark.read.schema(LEAVES).parquet(f"{self.path}/leaves/{run}")
-        if records <= integrity.FAN_OUT:
-            return tuple(integrity.roots(leaves, "run", integrity.FAN_OUT).first()[1:])
+        # A file ends a block.
+        most = records // self.block + len(held.inputFiles())
+        if most <= integrity.FAN_OUT:
+            return tuple(integrity.roots(leaves, "run", most).first()[1:])
         numbered = with_row_index(leaves, "part", "block", name="idx").select("idx", "hash")
         return leaves.count(), integrity.root_of(numbered).first()["root"]
 
@@ -155,7 +159,7 @@ class RunStore:
         path = f"{self.path}/runs/{folder}"
         # A batch is as long as a flush at most, so that its records can be numbered by a window.
         dealt = rows.withColumn(_PLACE, F.row_number().over(Window.partitionBy("flush_id").orderBy("key")).cast("long") - 1)
-        dealt.write.partitionBy("flush_id").option("parquet.bloom.filter.enabled#key", "true").parquet(path)
+        dealt.write.partitionBy("flush_id").options(**KEY_FILTER).parquet(path)
         held = self.spark.read.schema(dealt.schema).parquet(path)
         told = {r["flush_id"]: tuple(r)[1:] for r in held.groupBy("flush_id").agg(*_told()).collect()}
         if not told:
