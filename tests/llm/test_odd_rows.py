@@ -278,11 +278,10 @@ HELD_OUT = {
 def test_urls_of_hosts_that_are_not_in_the_table(spark):
     hosts = {h for _, h, _ in urls.LABELLED}
     rows = [(k, f"https://{u}", y) for k, (y, u) in enumerate((y, u) for y, held in HELD_OUT.items() for u in held)]
-    assert not hosts & {urls.split_url(u)[0] for _, u, _ in rows if "ads-track.example.org" not in u and "casino.example.org" not in u}
+    assert not hosts & {urls.split_url(u)[0] for _, u, _ in rows}
     told = {r["page_id"]: r for r in urls.judge(spark.createDataFrame([r[:2] for r in rows], "page_id long, url string")).collect()}
     right = [("block" if y else "allow") == told[k]["verdict"] for k, _, y in rows if told[k]["rule"] is None]
     assert len(right) >= 20 and sum(right) >= 0.85 * len(right)
-    print(sum(right), len(right))
 
 
 def test_a_long_url_is_judged_whole(spark):
