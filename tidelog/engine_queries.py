@@ -173,8 +173,9 @@ def filter_pruning(spark, sf_dir):
     """Whether the filters let every run pass that holds a key, and of keys that no run holds few."""
     store = stored(spark, sf_dir)
     rows = store.manifest()
-    firsts = all(runs.may_hold(r["filter"], k) for r in rows for k in (r["min_key"], r["max_key"]))
-    absent = sum(runs.may_hold(r["filter"], f"absent{k}") for r in rows for k in range(200))
+    held = {r["run"]: store.filters(r["min_key"])[r["run"]] for r in rows}
+    firsts = all(runs.may_hold(held[r["run"]], k) for r in rows for k in (r["min_key"], r["max_key"]))
+    absent = sum(runs.may_hold(f, f"absent{k}") for f in held.values() for k in range(200))
     return spark.createDataFrame([(firsts, absent <= 0.05 * 200 * len(rows))], "held_opened boolean, few_opened boolean")
 
 

@@ -98,19 +98,30 @@ class RunStore:
         complete = [p.getName() for p in names if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p.toString() + "/_SUCCESS"))]
         return sorted(int(m[1]) for n in complete if (m := re.fullmatch(r"v(\d+)", n)))
 
-    def manifest(self, version: int | None = None) -> list[Row]:
-        """The rows of a manifest (the newest one), oldest run first; a row per run, whatever its size, with a filter of FILTER_BITS at most."""
+    def _listed(self, version: int | None = None) -> DataFrame | None:
+        """A manifest (the newest one) as a DataFrame; None if there is none."""
         if version is None:
             version = max(self._versions(), default=-1)
-        if version < 0:
-            return []
-        rows = self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifest/v{version}").collect()
-        return sorted(rows, key=lambda r: (r["created"], r["run"]))
+        return None if version < 0 else self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifest/v{version}")
+
+    def manifest(self, version: int | None = None) -> list[Row]:
+        """The rows of a manifest, oldest run first and without filters: a short row per run, whatever its size."""
+        listed = self._listed(version)
+        return [] if listed is None else sorted(listed.drop("filter").collect(), key=lambda r: (r["created"], r["run"]))
+
+    def commit(self, new: Iterable[tuple] = (), drop: Iterable[str] = (), moved: dict[str, int] | None = None) -> None:
+        """Makes the next version: the newest one without the runs of drop, with those of moved at their new levels, and with new rows.
 
-    def commit(self, rows: list[Row | tuple]) -> None:
-        """Makes rows the next version; of two writers at once, one fails on the version's folder."""
-        version = max(self._versions(), default=-1) + 1
-        self.spark.createDataFrame([tuple(r) for r in rows], MANIFEST).coalesce(1).write.parquet(f"{self.path}/manifest/v{version}")
+        Of two writers at once, one fails on the version's folder.
+        """
+        version = max(self._versions(), default=-1)
+        rows = self.spark.createDataFrame(list(new), MANIFEST)
+        if (listed := self._listed(version)) is not None:
+            kept = listed.filter(~F.col("run").isin(list(drop))) if drop else listed
+            for run, level in (moved or {}).items():
+                kept = kept.withColumn("level", F.when(F.col("run") == run, level).otherwise(F.col("level")))
+            rows = kept.unionByName(rows)
+        rows.coalesce(1).write.parquet(f"{self.path}/manifest/v{version + 1}")
 
     def write(self, mutations: DataFrame, level: int = 0, horizon=None, source: str | None = None, created: int | None = None) -> tuple | None:
         """Writes one run (the newest mutation of every key, without tombstones before horizon) and returns its manifest row, or None if nothing is left to write.
@@ -178,7 +189,7 @@ class RunStore:
         for at, (flush_id, stats) in enumerate(sorted(told.items())):
             run = f"{folder}/flush_id={flush_id}"
             new.append((run, level, *stats, first + at, f"{self.path}/runs/{run}", *roots[run], words.get(flush_id), None))
-        self.commit([*listed, *new])
+        self.commit(new)
 
     def append(self, mutations: DataFrame, level: int = 0, source: str | None = None) -> None:
         """Writes one run and lists it. If a listed run has the same source (a name for what it was made from), nothing is written."""
@@ -187,12 +198,22 @@ class RunStore:
             return
         created = max((r["created"] for r in listed), default=0) + 1
         if (row := self.write(mutations, level, source=source, created=created)) is not None:
-            self.commit([*listed, row])
+            self.commit([row])
 
     def runs_for(self, low: str | None = None, high: str | None = None, key: str | None = None) -> list[Row]:
         """The runs whose key range meets low to high (None: open), and whose filter lets key pass if one is given."""
         rows = [r for r in self.manifest() if (high is None or r["min_key"] <= high) and (low is None or r["max_key"] >= low)]
-        return rows if key is None else [r for r in rows if r["min_key"] <= key <= r["max_key"] and may_hold(r["filter"], key)]
+        if key is None:
+            return rows
+        passed = {run for run, held in self.filters(key).items() if may_hold(held, key)}
+        return [r for r in rows if r["run"] in passed]
+
+    def filters(self, key: str) -> dict[str, bytes | None]:
+        """The filter of each run whose key range holds key."""
+        listed = self._listed()
+        if listed is None:
+            return {}
+        return {r["run"]: r["filter"] for r in listed.filter((F.col("min_key") <= key) & (F.col("max_key") >= key)).select("run", "filter").collect()}
 
     def read(self, low: str | None = None, high: str | None = None, schema=None, key: str | None = None) -> DataFrame | None:
         """All rows of the runs that ``runs_for`` gives; None if there is no such run."""
