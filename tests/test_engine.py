@@ -137,6 +137,21 @@ def test_long_ids_keep_their_keys(spark, tmp_path):
     assert found == {"u1234560": "view:1", "u1234561": None, "u000042": "view:4", "u000007": None}
 
 
+def test_runs_are_sorted_and_merged_in_order(spark):
+    rows = random_rows(17, 80, 9)
+    log = write.batch(spark, rows)
+    run = [tuple(r) for r in write.sorted_run(log).select("key", "value", "tombstone").collect()]
+    assert [r[0] for r in run] == sorted({r[0] for r in rows}) and {k: v for k, v, gone in run if not gone} == model(rows)
+    merged = resolve.merged_in_order(log.filter("seq % 2 = 0"), log.filter("seq % 2 = 1")).collect()
+    assert [(r["key"], r["ts"], r["seq"]) for r in merged] == sorted((r[0], r[2], r[3]) for r in rows)
+
+
+def test_digits_are_the_words_bits(spark):
+    words = ["a", "word", "čšž", "日本", "x" * 100]
+    df = spark.createDataFrame([(w,) for w in words], "word string").withColumn("digest", F.md5(F.encode("word", "UTF-8")))
+    assert {r["word"]: int(r["digits"], 2) for r in df.select("word", text.digest_digits(F.col("digest")).alias("digits")).collect()} == {w: text.word_bits(w) for w in words}
+
+
 def test_row_index(spark):
     rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x"))
     assert all(r["x"] == r["row_index"] for r in ordering.with_row_index(rows, "x").collect())

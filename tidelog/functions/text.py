@@ -52,11 +52,11 @@ def word_weights(docs: DataFrame) -> DataFrame:
     return words.groupBy("doc_id", "word").agg(F.count("*").alias("weight"))
 
 
-def digest_bits(digest: Column) -> Column:
-    """The last 64 binary digits of an MD5, whose bytes are written without leading zeros, as a long."""
+def digest_digits(digest: Column) -> Column:
+    """The last 64 binary digits of an MD5 (hexadecimal), whose bytes are written without leading zeros."""
     words = [word32(digest, k) for k in range(4)]
     digits = F.concat(*[F.bin(F.shiftright(w, shift).bitwiseAND(F.lit(255))) for w in words for shift in (24, 16, 8, 0)])
-    return F.conv(F.substring(F.lpad(digits, 128, "0"), 65, 64), 2, -10).cast("long")
+    return F.substring(F.lpad(digits, 128, "0"), 65, 64)
 
 
 #: Words that a worker remembers the bits of, and words whose 64 bits it holds apart at once.
@@ -65,7 +65,7 @@ _DIGITS = [f"{b:b}" for b in range(256)]
 
 
 def word_bits(word: str) -> int:
-    """What ``digest_bits`` has for a word's MD5, unsigned."""
+    """What ``digest_digits`` has for a word's MD5, as a number."""
     return int("".join(map(_DIGITS.__getitem__, hashlib.md5(word.encode()).digest()))[-BITS:], 2)
 
 

@@ -516,6 +516,13 @@ def word_weights(spark, sf_dir):
     return text.word_weights(table(spark, sf_dir, "documents"))
 
 
+@query(f"SELECT word, substr(lpad({_BYTES}, 128, '0'), 65, 64) AS digits FROM (SELECT DISTINCT word FROM ({WORDS_SQL}))")
+def hash_digits(spark, sf_dir):
+    words = table(spark, sf_dir, "documents").select(F.explode(text.clean_words(F.col("text"))).alias("word")).distinct()
+    # The digest is a column of its own, as it would be made anew for each of its parts otherwise.
+    return words.withColumn("digest", F.md5(F.encode("word", "UTF-8"))).select("word", text.digest_digits(F.col("digest")).alias("digits"))
+
+
 @query(PRINTS_SQL)
 def simhash_fingerprint(spark, sf_dir):
     return text.fingerprints(table(spark, sf_dir, "documents"))
