@@ -347,6 +347,22 @@ def test_merkle(spark, n):
     assert integrity.root(changed, 4).first()["root"] != root
 
 
+def test_merkle_beyond_one_fold(spark):
+    """More leaves than are folded together at once: 1,030 make eleven levels above them, 2,049 make twelve."""
+    for n in (integrity.FAN_OUT + 6, 2 * integrity.FAN_OUT + 1):
+        rows = [(f"k{k:05}", f"v{k}", 1, k, False) for k in range(n)]
+        run = write.batch(spark, rows)
+        level, want = [hashlib.md5(f"{r[0]}={r[1]}|0".encode()).digest() for r in rows], set()
+        for depth in range(n.bit_length() + 1):
+            want |= {(depth, k, h.hex()) for k, h in enumerate(level)}
+            if len(level) == 1:
+                break
+            level += [bytes(16)] * (len(level) % 2)
+            level = [hashlib.md5(a + b).digest() for a, b in zip(level[::2], level[1::2], strict=True)]
+        assert {(r["level"], r["idx"], r["hash"]) for r in integrity.tree(run, 1).collect()} == want
+        assert [r["root"] for r in integrity.root(run, 1).collect()] == [level[0].hex()]
+
+
 def test_token_bucket(spark):
     seconds = [0, 1, 2, 10, 11, 12]
     rows = spark.createDataFrame([("a", s) for s in seconds], "bucket string, second long")
